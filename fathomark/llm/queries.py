@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomark.llm import lookalike, packing, ranking, tokens
+from fathomark.llm import lookalike, markup, packing, ranking, splitting, tokens
 from fathomark.llm.lookalike import look_table
 from fathomark.session import table
 
@@ -19,6 +19,23 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_forms(lookalike.vault_values(*(table(spark, d, n) for n in ("notes", "tags", "corpus"))))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.structure(table(spark, d, "corpus"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(table(spark, d, "corpus"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(table(spark, d, "corpus"), table(spark, d, "collected_notes"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    items = splitting.vault_items(table(spark, d, "corpus"), table(spark, d, "collected_notes"))
+    return splitting.numbered(splitting.pieces(items), ["item_table", "path", "item"]).select("item_table", "path", "item", "ord", "begin", "end", "piece")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.clear_winners(table(spark, d, "hits"))
 
@@ -36,7 +53,8 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_found": p7_found, "p7_ranking": p7_ranking,
+    "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_ranking": p7_ranking,
     "p8_ids": p8_ids, "p9_containers": p9_containers,
 }
 
@@ -78,6 +96,11 @@ points AS (
 """
 
 ORACLES: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT 'corpus' AS item_table, path FROM corpus WHERE length(content) > 2000
+UNION ALL
+SELECT 'collected_notes', path FROM collected_notes GROUP BY path HAVING length(arg_max(text, collected_at)) > 2000
+""",
     "p7_found": _HITS + "SELECT query_id, arg_min(path, (-points, path)) AS path FROM points GROUP BY query_id HAVING count(*) FILTER (top = 3) = 1",
     "p7_ranking": _HITS + "SELECT query_id, path, CAST(points AS DOUBLE) AS points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, path) AS position FROM points",
     "p3_found": f"""
