@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomark.llm import lookalike, markup, packing, ranking, splitting, tokens
+from fathomark.llm import lookalike, markup, packing, ranking, reading, splitting, tokens
 from fathomark.llm.lookalike import look_table
 from fathomark.session import table
 
@@ -52,10 +52,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.bands(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_ranking": p7_ranking,
-    "p8_ids": p8_ids, "p9_containers": p9_containers,
+    "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_levels": p10_levels,
 }
 
 
