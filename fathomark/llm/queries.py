@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fathomark.llm import lookalike, markup, packing, ranking, reading, splitting, tokens
+from fathomark.llm import lookalike, markup, neighbours, packing, ranking, reading, splitting, tokens
 from fathomark.llm.lookalike import look_table
 from fathomark.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "note_vectors"))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 20, by a scan of all codes."""
+    return neighbours.neighbours(table(spark, d, "note_vectors"), asked=F.col("vec_id") % 20 == 0, probes=None)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_pairs(lookalike.vault_values(*(table(spark, d, n) for n in ("notes", "tags", "corpus"))))
 
@@ -61,7 +71,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
+    "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_ranking": p7_ranking,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_levels": p10_levels,
 }
@@ -103,7 +113,21 @@ points AS (
   FROM notes n LEFT JOIN ranks r USING (query_id, path) GROUP BY n.query_id, n.path)
 """
 
+_VECTORS = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, vector::DOUBLE[64] AS v FROM note_vectors
+  WHERE len(vector) = 64 AND len(list_filter(vector, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id, b.vec_id AS other, array_cosine_similarity(a.v, b.v) AS cosine
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": _VECTORS + """
+SELECT DISTINCT least(vec_id, other) AS vec_a, greatest(vec_id, other) AS vec_b FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 6) DESC, other) AS place FROM pairs)
+WHERE place <= 5 AND cosine >= 0.9
+""",
     "p5_found": """
 SELECT DISTINCT 'corpus' AS item_table, path FROM corpus WHERE length(content) > 2000
 UNION ALL
