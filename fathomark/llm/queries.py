@@ -116,7 +116,7 @@ points AS (
 _VECTORS = """
 WITH usable AS (
   SELECT DISTINCT vec_id, vector::DOUBLE[64] AS v FROM note_vectors
-  WHERE len(vector) = 64 AND len(list_filter(vector, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, x -> x <> 0)) > 0),
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT a.vec_id, b.vec_id AS other, array_cosine_similarity(a.v, b.v) AS cosine
   FROM usable a JOIN usable b ON a.vec_id <> b.vec_id)
