@@ -29,7 +29,7 @@ def note_presence(notes: DataFrame) -> DataFrame:
     )
 
 
-def dangling(refs: DataFrame, presence: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def dangling(refs: DataFrame, presence: DataFrame) -> DataFrame:
     """The rows of ``refs`` (``key, at``, any others) for which no row of ``presence`` (``key, first_at, gone_at``) held.
 
     Adds ``kind``: ``missing`` if the key never occurs, else ``later`` if a record with it first comes after ``at``,
@@ -40,10 +40,10 @@ def dangling(refs: DataFrame, presence: DataFrame, bucket_seconds: int = 3600) -
     sum is taken in two levels, per (key, hour) and within it, so that a key with a third of all rows is spread
     over as many groups as it has hours, and no group of records or references is ever collected.
     """
-    bucket = lambda t: F.floor(F.unix_timestamp(t) / F.lit(bucket_seconds))
+    bucket = lambda t: F.unix_date(t.cast("date")) * 24 + F.hour(t)  # noqa: E731  (without a time zone)
     lived = F.col("gone_at").isNull() | (F.col("gone_at") > F.col("first_at"))
     known = presence.where(F.col("key").isNotNull()).select("key", "first_at", "gone_at")
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None).cast("timestamp_ntz")
     steps = known.select(
         "key",
         F.explode(
@@ -53,11 +53,11 @@ def dangling(refs: DataFrame, presence: DataFrame, bucket_seconds: int = 3600) -
             )
         ).alias("s"),
     ).select("key", "s.t", "s.delta", "s.first_at", F.lit(None).cast(_ref_type(refs)).alias("ref"))
-    steps = steps.withColumn("t", steps["t"].cast("timestamp")).withColumn("first_at", steps["first_at"].cast("timestamp"))
+    steps = steps.withColumn("t", steps["t"].cast("timestamp_ntz")).withColumn("first_at", steps["first_at"].cast("timestamp_ntz"))
     asks = refs.where(F.col("key").isNotNull()).select(
-        "key", F.col("at").cast("timestamp").alias("t"), F.lit(0).alias("delta"), none.alias("first_at"), F.struct(*refs.columns).alias("ref")
+        "key", F.col("at").cast("timestamp_ntz").alias("t"), F.lit(0).alias("delta"), none.alias("first_at"), F.struct(*refs.columns).alias("ref")
     )
-    rows = steps.unionByName(asks).withColumn("bucket", F.coalesce(bucket(F.col("t")), F.lit(-(2**40))))
+    rows = steps.unionByName(asks).withColumn("bucket", F.coalesce(bucket(F.col("t")), F.lit(-(2**30))))
     per_key = Window.partitionBy("key")
     base = (
         rows.groupBy("key", "bucket")
@@ -110,7 +110,8 @@ def direct_orphans(notes: DataFrame, links: DataFrame, tags: DataFrame) -> DataF
 
 
 def month(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM")
+    """``YYYY-MM`` of an instant without a time zone."""
+    return F.substring(at.cast("timestamp_ntz").cast("string"), 1, 7)
 
 
 def cascade(records: DataFrame, refs: DataFrame, direct: DataFrame, most_rounds: int = 100) -> DataFrame:
