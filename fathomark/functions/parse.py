@@ -72,7 +72,7 @@ class Parsed:
 
 def decode(raw: bytes) -> str:
     """Lossy UTF-8 without a leading byte-order mark."""
-    return raw.decode("utf-8", errors="replace").removeprefix("﻿")
+    return raw.decode("utf-8", errors="replace").removeprefix("\ufeff")
 
 
 def truthy(value: object) -> bool:
