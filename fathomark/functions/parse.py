@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -75,6 +75,16 @@ def decode(raw: bytes) -> str:
     return raw.decode("utf-8", errors="replace").removeprefix("\ufeff")
 
 
+def lossy_text(content: Column) -> Column:
+    """:func:`decode` of a binary column; Spark's own decoding fails on malformed bytes."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda raw: decode(bytes(raw)), na_action="ignore")
+
+    return run(content)
+
+
 def truthy(value: object) -> bool:
     """Null, false, zero, empty text and empty collections are not."""
     return bool(value)

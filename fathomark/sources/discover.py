@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomark.config import Config, config_file, load_config
-from fathomark.functions.parse import decode
+from fathomark.functions.parse import decode, lossy_text
 
 
 @dataclass(frozen=True)
@@ -100,8 +100,7 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\ufeff", "")
-    return files.select("path", text.alias("text"), F.sha2("content", 256).alias("hash"), "modificationTime")
+    return files.select("path", lossy_text(F.col("content")).alias("text"), F.sha2("content", 256).alias("hash"), "modificationTime")
 
 
 def executable_bits(cfg: Config) -> list[tuple[str, str]]:

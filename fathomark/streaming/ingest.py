@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fathomark.functions import text as tx
-from fathomark.functions.parse import parse_texts
+from fathomark.functions.parse import lossy_text, parse_texts
 
 FILES = "path string, text string, hash string, at timestamp"
 
@@ -18,8 +18,7 @@ def note_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Da
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(folder)
     )
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\ufeff", "")
-    return files.select("path", text.alias("text"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("at"))
+    return files.select("path", lossy_text(F.col("content")).alias("text"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("at"))
 
 
 def parsed_stream(files: DataFrame) -> DataFrame:
