@@ -18,6 +18,8 @@ DIMENSIONS = 64
 SAMPLE = 16_384
 #: Vectors a cell is meant to hold, the most cells, and the members of a cell that one task scans.
 CELL, MOST_CELLS, BLOCK = 400, 2048, 2_000
+#: The same where a query scans everything: few large cells, so that queries travel to few places.
+WIDE_CELL, WIDE_RERANK = 20_000, 256
 #: Cells that a query looks into.
 PROBES = 12
 #: Candidates of a query in a block that are scored exactly.
@@ -166,7 +168,8 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
     """``rep, other, cosine``: up to ``k`` nearest distinct vectors of each of ``asked`` (default: all), itself left out.
 
     Cells and codebooks are fitted on a bounded sample on the driver; every vector is indexed in its nearest cell.
-    A query visits its ``probes`` nearest cells (None: all). Cells with many members or visitors are cut into blocks
+    A query visits its ``probes`` nearest cells (None: all, for a stated set of queries only: that scans every code
+    for each of them). Cells with many members or visitors are cut into blocks
     of a fixed size, so no task holds an unbounded group. With ``least``, only pairs of at least that cosine.
     """
     spark = reps.sparkSession
@@ -176,7 +179,9 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
     sample = _unit(np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in raw.chunks]).reshape(-1, dims)) if total else np.zeros((0, dims), np.float32)
     if not total:
         return spark.createDataFrame([], "rep long, other long, cosine double")
-    cells = int(np.clip(total // CELL, 1, min(MOST_CELLS, max(1, len(sample) // 8))))
+    per_cell, rerank = (CELL, RERANK) if probes else (WIDE_CELL, WIDE_RERANK)
+    most = BLOCK if probes else WIDE_CELL
+    cells = int(np.clip(total // per_cell, 1, min(MOST_CELLS, max(1, len(sample) // 8))))
     quantiser = Quantiser.fit(sample, cells)
     shared = spark.sparkContext.broadcast(quantiser)  # at most 2048 centres and 4 KB of codewords
     visits = min(probes or cells, cells)
@@ -196,7 +201,7 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
     counts = np.zeros(cells, np.int64)
     for r in members.groupBy("cell").count().collect():  # a row a cell
         counts[r["cell"]] = r["count"]
-    blocks = np.maximum(1, -(-counts // BLOCK))
+    blocks = np.maximum(1, -(-counts // most))
     split = spark.sparkContext.broadcast(blocks)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +222,8 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
 
     own = members if asked is None else members.join(asked.select("rep"), "rep", "left_semi")
     queries = own.select("rep", "unit").mapInArrow(visit, "rep long, cell int, block int, unit binary")
-    visitors = F.lit(max(1, int(-(-(total if asked is None else total // 20 + 1) * visits // (cells * 8 * BLOCK)))))
+    asking = total if asked is None else asked.count()
+    visitors = F.lit(max(1, int(asking * visits // (cells * 8 * BLOCK))))
     queries = queries.withColumn("turn", F.pmod(F.xxhash64("rep"), visitors).cast("int"))
     sizes = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
     placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), sizes).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), visitors - 1)))
@@ -229,7 +235,7 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
         z = shared.value
         unit = lambda f: np.frombuffer(b"".join(f["unit"]), np.float32).reshape(-1, dims)
         packed = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(-1, _SUBSPACES // 2)
-        q, m, cosine = scan(z, z.centres[int(key[0])], packed, unit(there), unit(here), k + 1, least)
+        q, m, cosine = scan(z, z.centres[int(key[0])], packed, unit(there), unit(here), k + 1, least, rerank)
         a, b = here["rep"].to_numpy()[q], there["rep"].to_numpy()[m]
         keep = a != b
         return pd.DataFrame({"rep": a[keep], "other": b[keep], "cosine": cosine[keep].astype(float)})

@@ -94,13 +94,14 @@ def pack(documents: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY,
     """``doc_id, piece, tokens, container``: every document in a container of ``capacity`` tokens.
 
     A document is cut only if it has more tokens than a container: into pieces of exactly ``capacity`` and a rest,
-    numbered from 0. Null and empty texts have 0 tokens and lie in some container. Repeated rows are items each.
+    numbered from 0. Null and empty texts have 0 tokens and lie in some container. Repeated rows are items each; rows
+    without an id are left out.
     Items are dealt by a hash over groups of a bounded number, each packed by :func:`best_two_fit` in a task of
     its own; only ids and sizes are shuffled. Sizes need not be spread evenly: the groups are of the same mixture.
     """
     rows = documents.count()
     groups = max(1, -(-rows // group_items))
-    items = token_counts(documents, path).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int"))))
+    items = token_counts(documents.where(F.col("doc_id").isNotNull()), path).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int"))))
     items = items.select(
         "doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * F.lit(capacity)).cast("long").alias("tokens"),
         F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("batch"),
