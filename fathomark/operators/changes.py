@@ -149,7 +149,7 @@ class ChangeFeed:
         return self.spark.read.parquet(f"{self.root}/sink").dropDuplicates(["part", "seq", "path"])
 
 
-def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 64) -> DataFrame:
+def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 256) -> DataFrame:
     """``path, change`` of the notes to process, delivered through a :class:`ChangeFeed` in the shared folder."""
     spark = collected.sparkSession
     feed = ChangeFeed(spark, scratch_path(spark, "changes"))

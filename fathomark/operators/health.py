@@ -54,5 +54,5 @@ def ordered(found: DataFrame) -> DataFrame:
 
 def totals(notes: DataFrame, found: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """One row ``notes, issues``; issues count a note once a check."""
-    n = notes.where(outside(skip)).agg(F.count("*").alias("notes"))
-    return n.crossJoin(F.broadcast(found.agg(F.count("*").alias("issues"))))  # one row each
+    ones = notes.where(outside(skip)).select(F.lit(1).alias("n"), F.lit(0).alias("i"))
+    return ones.unionAll(found.select(F.lit(0), F.lit(1))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("notes"), F.coalesce(F.sum("i"), F.lit(0)).alias("issues"))

@@ -170,6 +170,11 @@ def _hybrid(has_vectors: bool) -> Query:
     return run
 
 
+def hybrid_via(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the fused hits come from which ranking."""
+    return _hybrid(True)(spark, d).groupBy("via").agg(F.count("*").alias("n"))
+
+
 def embed_plan(spark: SparkSession, d: str) -> DataFrame:
     """What an embedding run over the present contents would keep, encode and drop, against the last recorded hashes."""
     now = table(spark, d, "collected_notes").groupBy("path").agg(F.max_by("hash", F.struct("collected_at", "hash")).alias("hash"))
@@ -203,10 +208,10 @@ def path_digest(spark: SparkSession, d: str) -> DataFrame:
 
 def stale_files(spark: SparkSession, d: str) -> DataFrame:
     """How many notes were collected after the index was generated."""
-    made = table(spark, d, "meta").where("key = 'generated'").select(F.max(F.trim("value").try_cast("double")).alias("made"))
+    made = table(spark, d, "meta").where("key = 'generated'").agg(F.max(F.trim("value").try_cast("double"))).first()[0]
     rows = table(spark, d, "collected_notes").groupBy("path").agg(F.max("collected_at").alias("at"))
-    after = F.unix_micros(F.col("at").cast("timestamp")) / F.lit(1e6) > F.col("made")
-    return rows.crossJoin(F.broadcast(made)).agg(F.sum(after.cast("long")).alias("stale"))  # one row against all
+    after = F.unix_micros(F.col("at").cast("timestamp")) / F.lit(1e6) > F.lit(made)
+    return rows.agg(F.sum(after.cast("long")).alias("stale"))
 
 
 def documents_parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +233,7 @@ QUERIES: dict[str, Query] = {
     "list_tags": list_tags, "recent": recent, "hit_enrich": hit_enrich, "links_resolved": links_resolved, "links_unresolved": links_unresolved,
     "links_ambiguous": links_ambiguous, "hub_backlinks": hub_backlinks, "backlink_counts": backlink_counts, "links_of_busiest": links_of_busiest,
     "resolve_argument": resolve_argument, "wikilinks": wikilinks, "word_count": word_count, "semantic_topk": semantic_topk,
-    "semantic_notes": semantic_notes, "embeddings_topk": embeddings_topk, "hybrid_rrf": _hybrid(True), "hybrid_degraded": _hybrid(False),
+    "semantic_notes": semantic_notes, "embeddings_topk": embeddings_topk, "hybrid_rrf": _hybrid(True), "hybrid_degraded": _hybrid(False), "hybrid_via": hybrid_via,
     "embed_plan": embed_plan, "embedding_texts": embedding_texts, "health_no_tags": _health("tags"), "health_no_summary": _health("summary"),
     "health_low_words": _health("low_words"), "health_no_updated": _health("updated"), "health_total": health_total,
     "path_digest": path_digest, "stale_files": stale_files, "documents_parsed": documents_parsed, "documents_issues": documents_issues,
@@ -293,6 +298,7 @@ ORACLES: dict[str, str] = {
     "ORDER BY array_inner_product(a.embedding::DOUBLE[64], b.embedding::DOUBLE[64]) DESC, a.vec_id LIMIT 10",
     "hybrid_rrf": f"{WITH}, {_bm25_sql(['pipeline'], 40)}, {_NEAREST}, {_RRF}",
     "hybrid_degraded": f"{WITH}, {_bm25_sql(['pipeline'], 40)} SELECT path, round(1.0 / (60 + row_number() OVER (ORDER BY round(bm.score, 9) DESC, path)), 12) AS score, 'bm25' AS via FROM bm ORDER BY score DESC LIMIT 10",
+    "hybrid_via": f"{WITH}, {_bm25_sql(['pipeline'], 40)}, {_NEAREST}, {_RRF}".replace("SELECT path, round(coalesce", "SELECT via, count(*) AS n FROM (SELECT path, round(coalesce") + ") GROUP BY via",
     "embed_plan": """WITH now AS (SELECT path, arg_max(hash, {'a': collected_at, 'h': hash}) AS h FROM collected_notes WHERE path IS NOT NULL GROUP BY path),
 old AS (SELECT path, max(hash) AS o FROM meta_notes WHERE run_id = 3 AND path IS NOT NULL GROUP BY path)
 SELECT path, CASE WHEN now.path IS NULL THEN 'drop' WHEN old.path IS NOT NULL AND h = o THEN 'keep' ELSE 'encode' END AS action FROM now FULL JOIN old USING (path)""",
