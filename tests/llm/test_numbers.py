@@ -179,3 +179,9 @@ def test_sentence_words_of_texts():
     assert sentences.tolist() == [2, 0, 2, 0] and sizes.sum() == len(words) and [reading.LANGUAGES[i] for i in language] == ["en", "", "ja", ""]
     again = reading.sentence_words(["the CAT is here"])[0]
     assert set(again) == set(words[: sizes[0]])
+
+
+def test_giant_texts_are_read_in_runs():
+    texts = ["The cat is here. It is my cat!\n" * 40, "", "きょう、いぬをみます。\n" * 30]
+    a, b = reading.sentence_words(texts), reading.sentences_of(texts, giant=100)
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))
