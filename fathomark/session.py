@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,8 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not known:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        known = os.environ.get("FATHOMARK_TEST_SHARED") or tempfile.mkdtemp(prefix="fathomark-")
-        os.environ["FATHOMARK_TEST_SHARED"] = known
+        known = os.environ.get("FATHOMARK_TEST_SHARED")
+        if not known:
+            known = os.environ["FATHOMARK_TEST_SHARED"] = tempfile.mkdtemp(prefix="fathomark-")
+            atexit.register(shutil.rmtree, known, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known
