@@ -20,10 +20,14 @@ SAMPLE = 16_384
 CELL, MOST_CELLS, BLOCK = 400, 2048, 2_000
 #: The same where a query scans everything: few large cells, so that queries travel to few places.
 WIDE_CELL, WIDE_RERANK = 20_000, 256
-#: Cells that a query looks into.
+#: Cells that a query looks into first; further ones follow as far as they can hold anything near enough.
 PROBES = 12
-#: Candidates of a query in a block that are scored exactly.
+#: Candidates of a query in a block that are scored exactly first; further ones follow as far as the error bound demands.
 RERANK = 64
+#: Members and queries that meet in a task of the further cells.
+ROOM, GUESTS = 20_000, 16_000
+#: What 32-bit sums may be off by, and angles computed from them (radians).
+SLACK, ANGLE_SLACK = 1e-5, 5e-3
 #: Inner products from which on accuracy matters most; sets the price of the error along the vector.
 AIM = 0.2
 _SUBSPACES, _CODES = 16, 16
@@ -112,39 +116,57 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] * _CODES + codes[:, 1::2]).astype(np.uint8)
 
 
+def _double(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _top(exact: np.ndarray, k: int, floor: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` greatest of each row that reach its floor; equals to six digits go by column."""
+    many = exact.shape[1]
+    row, col = np.nonzero(exact >= floor)
+    if len(row) > k * len(exact):
+        key = np.rint(exact * 1e6).astype(np.int64) * many + (many - 1 - np.arange(many))
+        key[exact < floor] = np.iinfo(np.int64).min
+        if many > k:
+            least = np.partition(key, many - k, axis=1)[:, many - k, None]
+            row, col = np.nonzero((key >= least) & (exact >= floor))
+    return row, col
+
+
 def scan(quantiser: Quantiser, centre: np.ndarray, packed: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, least: float | None, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, member and cosine of the ``k`` best members of one block for each query, itself included if it is there.
 
-    All members are scored from the tables; the ``rerank`` best of each query are scored exactly.
+    All members are scored from the tables, and the ``rerank`` best of each query exactly. A table score is off by at
+    most the length of what the member's code leaves over, so that every member whose score and that length together
+    reach the k-th exact cosine and ``least`` is scored exactly as well: nothing of the block is lost.
     """
     out: tuple[list, list, list] = ([], [], [])
     many = len(packed)
-    for i in range(0, len(queries), 256):
-        q = queries[i : i + 256]
+    codes = np.stack([packed // _CODES, packed % _CODES], axis=2).reshape(many, -1)
+    off = np.linalg.norm(vectors - centre - quantiser.books[np.arange(_SUBSPACES), codes].reshape(many, -1), axis=1)
+    precise = _double(vectors)
+    step = int(np.clip(512_000 // max(many, 1), 16, 256))
+    for i in range(0, len(queries), step):
+        q = queries[i : i + step]
         t = quantiser.tables(q)
         score = np.repeat((q @ centre)[:, None], many, axis=1)
         for m in range(packed.shape[1]):
             score += t[:, m][:, packed[:, m]]
-        if many > rerank:
+        exact_q = _double(q)
+        floor = np.full(len(q), -2.0 if least is None else least)
+        if many > rerank >= k:
             best = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-        else:
-            best = np.broadcast_to(np.arange(many), (len(q), many))
-        if least is not None:  # the exact score is only worth taking where the table does not rule it out
-            near = np.take_along_axis(score, best, 1) >= least - 0.3
-        else:
-            near = np.ones(best.shape, bool)
-        row, col = np.nonzero(near)
-        member = best[row, col]
-        exact = np.einsum("nd,nd->n", q[row], vectors[member])
-        if least is not None:
-            good = exact >= least - 1e-5
-            row, member, exact = row[good], member[good], exact[good]
-        order = np.lexsort((member, -exact, row))
-        row, member, exact = row[order], member[order], exact[order]
-        first = np.searchsorted(row, np.arange(len(q)))
-        good = np.arange(len(row)) - first[row] < k
-        for into, part in zip(out, (row + i, member, exact), strict=True):
-            into.append(part[good])
+            first = np.einsum("nd,nrd->nr", exact_q, precise[best])
+            floor = np.maximum(floor, np.partition(first, rerank - k, axis=1)[:, rerank - k] - 1e-6)
+        open_ = score + off >= floor[:, None] - SLACK
+        rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        if not len(rows):
+            continue
+        exact = exact_q[rows] @ precise[cols].T
+        row, col = _top(exact, k, -2.0 if least is None else least - SLACK)
+        for into, part in zip(out, (rows[row] + i, cols[col], exact[row, col]), strict=True):
+            into.append(part)
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
@@ -169,8 +191,9 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
 
     Cells and codebooks are fitted on a bounded sample on the driver; every vector is indexed in its nearest cell.
     A query visits its ``probes`` nearest cells (None: all, for a stated set of queries only: that scans every code
-    for each of them). Cells with many members or visitors are cut into blocks
-    of a fixed size, so no task holds an unbounded group. With ``least``, only pairs of at least that cosine.
+    for each of them), then every other cell that may hold a vector as near as its k-th so far (see ``_further``).
+    Cells with many members or visitors are cut into blocks of a fixed size, so no task holds an unbounded group.
+    With ``least``, only pairs of at least that cosine. Cosines equal to six digits go by id.
     """
     spark = reps.sparkSession
     total = reps.count()
@@ -192,15 +215,17 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
             if b.num_rows:
                 x = _unit(b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
                 code = pack(z.encode(x))
+                cell = _nearest(x, z.centres)
+                near = np.einsum("nd,nd->n", _double(x), _double(z.centres)[cell])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("rep"), pa.array(_nearest(x, z.centres), pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
-                    names=["rep", "cell", "code", "unit"],
+                    [b.column("rep"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(near, pa.float64())],
+                    names=["rep", "cell", "code", "unit", "near"],
                 )
 
-    members = materialise(reps.select("rep", "vector").mapInArrow(index, "rep long, cell int, code binary, unit binary"), "cells")
-    counts = np.zeros(cells, np.int64)
-    for r in members.groupBy("cell").count().collect():  # a row a cell
-        counts[r["cell"]] = r["count"]
+    members = materialise(reps.select("rep", "vector").mapInArrow(index, "rep long, cell int, code binary, unit binary, near double"), "cells")
+    counts, widest = np.zeros(cells, np.int64), np.zeros(cells)
+    for r in members.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():  # a row a cell
+        counts[r["cell"]], widest[r["cell"]] = r["n"], np.arccos(np.clip(r["near"], -1, 1))
     blocks = np.maximum(1, -(-counts // most))
     split = spark.sparkContext.broadcast(blocks)
 
@@ -241,10 +266,106 @@ def search(reps: DataFrame, k: int, asked: DataFrame | None = None, probes: int
         return pd.DataFrame({"rep": a[keep], "other": b[keep], "cosine": cosine[keep].astype(float)})
 
     met = placed.groupBy("cell", "block", "turn").cogroup(queries.groupBy("cell", "block", "turn")).applyInPandas(meet, "rep long, other long, cosine double")
-    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("cosine").desc(), "other"))
+    found = _closest(met, k)
+    if visits == cells:
+        return found
+    found = materialise(found, "probed")
+    more = _further(members, own.select("rep", "unit"), found, quantiser.centres, counts, widest, k, least)
+    return found if more is None else _closest(found.unionByName(more).groupBy("rep", "other").agg(F.max("cosine").alias("cosine")), k)
+
+
+def _closest(met: DataFrame, k: int) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "other"))
     return met.withColumn("place", best).where(F.col("place") <= k).drop("place")
 
 
+def _further(members: DataFrame, asking: DataFrame, found: DataFrame, centres: np.ndarray, counts: np.ndarray, widest: np.ndarray, k: int, least: float | None) -> DataFrame | None:
+    """``rep, other, cosine`` from the cells that may still hold one of the ``k`` nearest, however many they are.
+
+    A cell is left out only if it cannot: if a query is further from its centre than the cell's widest member and the
+    query's k-th cosine so far (``least``, if that is more or fewer were found) allow together. Cells are put together
+    to rooms of a fixed size, so that a query travels once to a room and not to each cell; it is scored there exactly
+    against the cells within its reach. None if no query has any such cell.
+    """
+    spark = members.sparkSession
+    cells, dims = centres.shape
+    parts = np.maximum(1, -(-counts // ROOM))
+    first = np.zeros(cells, np.int64)
+    rooms = held = 0  # the room being filled and its members
+    for c in range(cells):
+        if held and (parts[c] > 1 or held + counts[c] > ROOM):
+            rooms, held = rooms + 1, 0
+        first[c] = rooms
+        rooms, held = (rooms + parts[c], 0) if parts[c] > 1 else (rooms, held + counts[c])
+    many = int(rooms + 1)
+    shared = spark.sparkContext.broadcast((_double(centres), np.where(counts > 0, widest, -9.0), parts, first))
+
+    def reach(x: np.ndarray, floor: np.ndarray, c: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        far = np.arccos(np.clip(x @ c.T, -1, 1))
+        return far - wide <= np.arccos(np.clip(floor - 2e-6, -1, 1))[:, None] + ANGLE_SLACK
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, wide, parts, first = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _double(np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float32).reshape(-1, dims))
+            floor = b.column("floor").to_numpy(zero_copy_only=False)
+            for i in range(0, len(x), 2048):
+                row, cell = np.nonzero(reach(x[i : i + 2048], floor[i : i + 2048], c, wide))
+                times = parts[cell]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                pair = np.unique(np.repeat(row, times) * many + np.repeat(first[cell], times) + part)
+                take = pa.array(pair // many + i)
+                yield pa.RecordBatch.from_arrays([b.column("rep").take(take), pa.array(pair % many, pa.int32()), b.column("unit").take(take), b.column("floor").take(take)], names=["rep", "room", "unit", "floor"])
+
+    floor = F.lit(-1.0 if least is None else float(least))
+    sure = found.groupBy("rep").agg(F.min("cosine").alias("kth"), F.count("*").alias("n"))
+    asking = asking.join(sure, "rep", "left").select("rep", "unit", F.when(F.col("n") >= k, F.greatest("kth", floor)).otherwise(floor).alias("floor"))
+    guests = materialise(asking.mapInArrow(visit, "rep long, room int, unit binary, floor double"), "further")
+    turns = np.zeros(many, np.int64)
+    for r in guests.groupBy("room").count().collect():  # a row a room
+        turns[r["room"]] = -(-r["count"] // GUESTS)
+    if not turns.any():
+        return None
+    of = lambda values, at: F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
+    # not the hash that dealt members to the blocks
+    dealt = F.xxhash64("rep", F.lit(1))
+    guests = guests.withColumn("turn", F.pmod(dealt, of(turns, F.col("room"))).cast("int"))
+    room = of(first, F.col("cell")) + F.pmod(dealt, of(parts, F.col("cell")))
+    hosts = members.select("rep", "cell", "unit", room.cast("int").alias("room")).withColumn("turns", of(turns, F.col("room"))).where("turns > 0")
+    hosts = hosts.select("rep", "cell", "unit", "room", F.explode(F.sequence(F.lit(0), F.col("turns").cast("int") - 1)).alias("turn"))
+
+    def meet(key: tuple, there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"rep": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+        if there.empty or here.empty:
+            return none
+        c, wide, _, _ = shared.value
+        there = there.sort_values(["cell", "rep"])
+        unit = lambda f: np.frombuffer(b"".join(f["unit"]), np.float32).reshape(-1, dims)
+        v, q, other, rep, least_ = unit(there), unit(here), there["rep"].to_numpy(), here["rep"].to_numpy(), here["floor"].to_numpy()
+        held, begin = np.unique(there["cell"].to_numpy(), return_index=True)
+        precise, seek = _double(v), _double(q)
+        near = np.concatenate([reach(seek[i : i + 2048], least_[i : i + 2048], c[held], wide[held]) for i in range(0, len(q), 2048)])
+        out = [none]
+        for n, (start, stop) in enumerate(zip(begin, [*begin[1:], len(v)], strict=True)):
+            who = np.flatnonzero(near[:, n])
+            for a in range(start, stop, BLOCK):
+                block = slice(a, min(a + BLOCK, stop))
+                for i in range(0, len(who), 512):
+                    w = who[i : i + 512]
+                    open_ = q[w] @ v[block].T >= (least_[w, None] - 2e-6 - SLACK)
+                    rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+                    if len(rows):
+                        exact = seek[w[rows]] @ precise[block][cols].T
+                        row, col = _top(exact, k + 1, least_[w[rows], None] - 2e-6)
+                        out.append(pd.DataFrame({"rep": rep[w[rows[row]]], "other": other[block][cols[col]], "cosine": exact[row, col]}))
+        met = pd.concat(out)
+        return met[met["rep"] != met["other"]]
+
+    return hosts.groupBy("room", "turn").cogroup(guests.groupBy("room", "turn")).applyInPandas(meet, "rep long, other long, cosine double")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squaring neither overflows nor vanishes
@@ -270,7 +391,7 @@ def neighbours(table: DataFrame, k: int = 5, asked: Column | None = None, probes
     wide = found.join(hubs, "other").select("rep", "cosine", F.explode("hubs").alias("to"))
     own = reps.where("n > 1").select("rep", F.lit(1.0).alias("cosine"), F.explode("hubs").alias("to"))
     pairs = members.join(wide.unionByName(own), "rep").where(F.col("vec_id") != F.col("to"))
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("cosine").desc(), "to"))
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.round("cosine", 6).desc(), "to"))
     return pairs.select("vec_id", F.col("to").alias("other"), "cosine", place.alias("place")).where(F.col("place") <= k)
 
 

@@ -48,6 +48,24 @@ def test_unusable_vectors_and_copies(spark):
     assert per[0] == [1, 2, 3, 4, 5] and per[3] == [0, 1, 2, 4, 5] and per[399] == [0, 1, 2, 3, 4] and per[1000] == [0, 1, 2, 3, 4] and len(per) == 401
 
 
+def test_no_near_copy_is_lost(spark):
+    rng = np.random.default_rng(3)
+    copies = rng.normal(size=64) + rng.normal(0, 0.05, (2500, 64))
+    loose = rng.normal(size=(300, 64))
+    x = np.concatenate([rng.normal(size=(5000, 64)), copies, *(loose + rng.normal(0, 0.22, loose.shape) for _ in range(3))]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    score = unit @ unit.T
+    np.fill_diagonal(score, -2)
+    top = np.argsort(-score.round(6), axis=1, kind="stable")[:, :5]
+    want = {(min(a, b), max(a, b)) for a in range(len(x)) for b in top[a] if score[a, b] >= 0.9}
+    df = table(spark, enumerate(x))
+    assert {tuple(r) for r in neighbours.similar_pairs(df).collect()} == want
+    for probes, every in ((None, 20), (12, 40)):
+        asked = neighbours.neighbours(df, 5, F.col("vec_id") % every == 0, probes=probes).collect()
+        assert {(r.vec_id, r.other) for r in asked} == {(a, b) for a in range(0, len(x), every) for b in top[a]}
+
+
 def test_anisotropic_codes_keep_inner_products():
     rng = np.random.default_rng(1)
     x = neighbours._unit(rng.normal(size=(3000, 64)))
