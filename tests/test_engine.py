@@ -270,6 +270,28 @@ def test_streaming_ingestion_takes_each_version_once(spark, tmp_path):
     assert sorted(r.title for r in ingest.current_notes(spark, out).collect()) == ["One", "Three", "Two"]
 
 
+def test_streaming_ingestion_keeps_late_notes(spark, tmp_path):
+    source, out, point = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/point"
+    source.mkdir()
+    for name, at in (("new.md", 2e9), ("late.md", 1e9), ("newer.md", 2.1e9), ("oldest.md", 5e8)):
+        (source / name).write_text(f"# {name}")
+        os.utime(source / name, (at, at))
+        ingest.write_notes(ingest.note_stream(spark, f"file://{source}"), out, point).awaitTermination(120)
+    names = lambda: sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(out).collect())
+    assert names() == ["late.md", "new.md", "newer.md", "oldest.md"]
+
+
+def test_streaming_ingestion_takes_a_version_that_comes_back(spark, tmp_path):
+    source, out, point = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/point"
+    versions = [("a", 5, 1), ("a", 6, 1), ("b", 7, 2), ("a", 8, 3), ("a", 8, 3), ("c", 1, 4)]  # hash, day, rows then
+    for text, day, rows in versions:
+        df = spark.createDataFrame([("n.md", f"# {text}", text)] * 2, "path string, text string, hash string")
+        df.withColumn("at", F.make_timestamp_ltz(F.lit(2030), F.lit(1), F.lit(day), F.lit(0), F.lit(0), F.lit(0))).write.mode("append").parquet(source)
+        ingest.write_notes(spark.readStream.schema(ingest.FILES).parquet(source), out, point).awaitTermination(120)
+        assert spark.read.parquet(out).count() == rows
+    assert [r.title for r in ingest.current_notes(spark, out).collect()] == ["a"]
+
+
 def test_entry_without_the_training_text_queries():
     import __spark_entry__ as entry
 
