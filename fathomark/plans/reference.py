@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomark.functions import text as tx
 from fathomark.functions.parse import parse_texts
-from fathomark.operators import browse, fusion, graph, health, lexical, vector
+from fathomark.operators import browse, changes, fusion, graph, health, lexical, vector
 from fathomark.plans import vault
 from fathomark.session import table
 
@@ -176,9 +176,10 @@ def hybrid_via(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_plan(spark: SparkSession, d: str) -> DataFrame:
-    """What an embedding run over the present contents would keep, encode and drop, against the last recorded hashes."""
+    """What an embedding run over the present contents would keep, encode and drop, against the hashes of the latest good run."""
+    run = F.broadcast(changes.latest_good_run(table(spark, d, "meta")))  # one row at most
     now = table(spark, d, "collected_notes").groupBy("path").agg(F.max_by("hash", F.struct("collected_at", "hash")).alias("hash"))
-    old = table(spark, d, "meta_notes").where("run_id = 3").groupBy("path").agg(F.max("hash").alias("hash"))
+    old = table(spark, d, "meta_notes").join(run, "run_id", "left_semi").groupBy("path").agg(F.max("hash").alias("hash"))
     return vector.plan_embedding(now, old)
 
 

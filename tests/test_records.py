@@ -109,6 +109,17 @@ def test_changes_compare_with_the_latest_good_run(spark):
     assert sorted(tuple(r) for r in got.collect()) == [("bare", "changed"), ("gone", "deleted"), ("moved", "changed"), ("new", "added"), ("nullhash", "changed")]
 
 
+def test_embedding_plan_compares_with_the_latest_good_run(spark, tmp_path):
+    from fathomark.plans import reference
+
+    rows = [(p, "t", "x", h, day(1), "") for p, h in [("same", "ab"), ("new", "cd")]]
+    runs = [(3, "new", "", "cd"), (4, "same", "", "ab"), (4, "gone", "", "77"), (5, "new", "", "cd")]
+    meta = [("run/3/state", "ok"), ("run/3/generated", "10"), ("run/4/state", "ok"), ("run/4/generated", "20"), ("run/5/state", "failed"), ("run/5/generated", "30")]
+    for name, df in zip(("collected_notes", "meta_notes", "meta"), tables(spark, rows, runs, meta), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted((r.path, r.action) for r in reference.embed_plan(spark, str(tmp_path)).collect()) == [("gone", "drop"), ("new", "encode"), ("same", "keep")]
+
+
 def test_without_a_good_run_everything_is_added(spark):
     got = changes.capture_changes(*tables(spark, [("a", "", "", "1", day(1), "")], [(1, "b", "", "1")], [("run/1/state", "failed")]))
     assert [tuple(r) for r in got.collect()] == [("a", "added")]
