@@ -10,6 +10,7 @@ the graph, one number pair a bucket, has a size that does not grow with the corp
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ LABELS_BROADCAST = 500_000
 STEPS = 16
 BANDS = (1, 2, 3, 4)
 LEAST_CHARS = 300
+#: The band of texts without anything to judge by, where there are no labels to take the mean of.
+FALLBACK = 2
 
 # Frequent words by which a text's language is told; Japanese is told by its script.
 STOPWORDS = {
@@ -287,11 +290,12 @@ def grades(labels: DataFrame) -> DataFrame:
     return good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("band").alias("grade"))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 3, unsure: float = 0.3, settled: float = 0.005) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 50, unsure: float = 0.3, settled: float = 0.005) -> DataFrame:
     """``doc_id, chars, level, band``: continuous level and band 1 to 4 of each document that has a text.
 
-    ``rounds`` bounds the harmonic iterations, which end earlier when words move by less than ``settled`` on
-    average. Ungraded documents pass on their level with the weight ``unsure``. A text without known words (empty,
+    The harmonic iterations end when no further word becomes known and words move by less than ``settled`` on
+    average; ``rounds`` is a safety bound, and a warning says so if it ends them. Graded documents are clamped while
+    levels spread, and judged by their text like any other in what comes out, as labels err. Ungraded documents pass on their level with the weight ``unsure``. A text without known words (empty,
     blank, only code) has the level null and the band null. Without any label all bands are null. A repeated
     document id is judged per row. Whole texts count; lang and n_chars, which may be wrong, are not read.
     """
@@ -306,9 +310,12 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 3, uns
         new = _Words.of(_spread(docs, words, chance, unsure).toArrow())
         both = (words.weight > 0) & (new.weight > 0)
         moved = float(np.abs(words.mean - new.mean)[both].mean()) if both.any() else 0.0
+        grown = bool(((words.weight == 0) & (new.weight > 0)).any())
         words = new
-        if moved < settled:
+        if moved < settled and not grown:
             break
+    else:
+        warnings.warn(f"reading levels have not settled in {rounds} rounds", stacklevel=2)
     shared = spark.sparkContext.broadcast((words, _chances(graded, words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,5 +329,11 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 3, uns
 
 
 def bands(documents: DataFrame, labels: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``doc_id, band`` of the documents whose text has at least ``least`` characters."""
-    return reading_levels(documents, labels).where((F.col("chars") >= least) & F.col("band").isNotNull()).select("doc_id", "band").distinct()
+    """``doc_id, band`` of the documents whose text has at least ``least`` characters.
+
+    One that nothing tells of (only code, or no word that labels reach) has the rounded mean of all grades.
+    """
+    mean = grades(labels).agg(F.avg("grade")).first()[0]
+    fallback = FALLBACK if mean is None else int(np.clip(np.rint(mean), BANDS[0], BANDS[-1]))
+    long = reading_levels(documents, labels).where(F.col("chars") >= least)
+    return long.select("doc_id", F.coalesce("band", F.lit(fallback).cast("long")).alias("band")).distinct()

@@ -192,6 +192,17 @@ def test_levels_spread_from_graded_documents(spark):
     assert reading.reading_levels(d.limit(0), spark.createDataFrame(labels, "doc_id long, band int, reader string")).count() == 0
 
 
+def test_levels_reach_the_end_of_a_chain_and_every_long_text(spark):
+    word = lambda i, k: "abcdefghij"[i] * 3 + "klmnopqrst"[k] * 2
+    text = lambda i: " ".join(" ".join(word(j, k) for k in range(8)) + "." for j in (i, i + 1) for _ in range(4))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(9)] + [(50, "```\n" + "code = 1\n" * 50 + "```")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 3, "r")], "doc_id long, band int, reader string")
+    got = {r.doc_id: r.band for r in reading.reading_levels(docs, labels).collect()}
+    assert all(got[i] for i in range(9)) and got[50] is None
+    assert {r.doc_id: r.band for r in reading.bands(docs, labels).collect()}[50] == 3
+    assert {r.band for r in reading.bands(docs, labels.limit(0)).collect()} == {reading.FALLBACK}
+
+
 def test_sentence_words_of_texts():
     words, sizes, sentences, language = reading.sentence_words(["The cat is here. It is my cat!", "", "きょう、いぬをみます。ねこもいます。", "x"])
     assert sentences.tolist() == [2, 0, 2, 0] and sizes.sum() == len(words) and [reading.LANGUAGES[i] for i in language] == ["en", "", "ja", ""]
