@@ -120,6 +120,10 @@ class ChangeFeed:
         self._write_json(f"plan-{planned['batch']}.json", planned)
         return planned
 
+    def pending(self) -> bool:
+        """Whether a run has planned a batch and not committed it."""
+        return self._read_json(f"plan-{self._state()['batch'] + 1}.json") is not None
+
     def batch(self, plan: dict) -> DataFrame:
         """The records that a plan covers; its bounds are two numbers a partition."""
         log = self.spark.read.parquet(f"{self.root}/log")
@@ -149,10 +153,16 @@ class ChangeFeed:
         return self.spark.read.parquet(f"{self.root}/sink").dropDuplicates(["part", "seq", "path"])
 
 
-def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 256) -> DataFrame:
-    """``path, change`` of the notes to process, delivered through a :class:`ChangeFeed` in the shared folder."""
+def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 256, root: str | None = None, work=lambda df: df) -> DataFrame:
+    """``path, change`` of the notes to process, delivered through a :class:`ChangeFeed`.
+
+    ``root`` is the feed's folder: one that stays the same between runs makes a call after a failed one replay that
+    one's plan, without computing its changes anew; the call after that takes up what has changed since. None is a
+    new folder in the shared one.
+    """
     spark = collected.sparkSession
-    feed = ChangeFeed(spark, scratch_path(spark, "changes"))
-    feed.append_log(note_changes(collected, meta_notes, meta), parts)
-    feed.run()
-    return feed.sink().select("path", "change").distinct()
+    feed = ChangeFeed(spark, root or scratch_path(spark, "changes"))
+    if not feed.pending():
+        feed.append_log(note_changes(collected, meta_notes, meta), parts)
+    plan = feed.run(work)
+    return feed.sink().where(F.col("batch") == plan["batch"]).select("path", "change").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from fathomark.operators import changes, orphans
 from fathomark.operators.ordering import running_before
 from pyspark.sql import functions as F
@@ -120,6 +121,31 @@ def test_embedding_plan_compares_with_the_latest_good_run(spark, tmp_path):
     assert sorted((r.path, r.action) for r in reference.embed_plan(spark, str(tmp_path)).collect()) == [("gone", "drop"), ("new", "encode"), ("same", "keep")]
 
 
+def test_changes_resume_a_failed_run_in_the_same_folder(spark, tmp_path):
+    root, made = f"file://{tmp_path}/feed", [("run/1/state", "ok")]
+    first = tables(spark, [("a", "", "", "1", day(1), ""), ("b", "", "", "2", day(1), "")], [(1, "c", "", "3")], made)
+
+    commit, plans = changes.ChangeFeed.commit, []
+
+    def fails(self, plan):
+        plans.append(plan)
+        raise OSError("between sink and commit")
+
+    changes.ChangeFeed.commit = fails
+    try:
+        with pytest.raises(OSError, match="between"):
+            changes.capture_changes(*first, parts=4, root=root)
+    finally:
+        changes.ChangeFeed.commit = commit
+    feed = changes.ChangeFeed(spark, root)
+    assert feed.plan() == plans[0]
+    later = tables(spark, [("d", "", "", "1", day(1), "")], [(1, "d", "", "0")], made)
+    want = [("a", "added"), ("b", "added"), ("c", "deleted")]
+    assert sorted(tuple(r) for r in changes.capture_changes(*later, parts=4, root=root).collect()) == want
+    assert [tuple(r) for r in changes.capture_changes(*later, parts=4, root=root).collect()] == [("d", "changed")]
+    assert sorted((r.path, r.change) for r in feed.sink().collect()) == [*want, ("d", "changed")]
+
+
 def test_without_a_good_run_everything_is_added(spark):
     got = changes.capture_changes(*tables(spark, [("a", "", "", "1", day(1), "")], [(1, "b", "", "1")], [("run/1/state", "failed")]))
     assert [tuple(r) for r in got.collect()] == [("a", "added")]
