@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
     names = ("notes", "links", "tags", "collected_notes", "meta_notes", "note_vectors", "hits")
-    return orphans.vault_cascade(*(table(spark, d, n) for n in names))
+    return orphans.orphan_report({n: table(spark, d, n) for n in names})
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +74,10 @@ dead_vec AS (
 hits_judged AS (
   SELECT rid, CASE WHEN path NOT IN (SELECT path FROM vec WHERE path IS NOT NULL) THEN 'direct' WHEN path IN (SELECT path FROM dead_vec) THEN 'inherited' END AS origin FROM hit)
 SELECT ref_table, period, 'direct' AS origin, count(*) AS n FROM timed GROUP BY ALL
+UNION ALL SELECT 'links', strftime(seen_at, '%Y-%m'), 'inherited', count(DISTINCT link_id) FROM links
+  WHERE path IN (SELECT path FROM dead_notes) AND CAST(link_id AS VARCHAR) NOT IN (SELECT rid FROM timed WHERE ref_table = 'links') GROUP BY ALL
+UNION ALL SELECT 'tags', strftime(seen_at, '%Y-%m'), 'inherited', count(DISTINCT tag_id) FROM tags
+  WHERE path IN (SELECT path FROM dead_notes) AND CAST(tag_id AS VARCHAR) NOT IN (SELECT rid FROM timed WHERE ref_table = 'tags') GROUP BY ALL
 UNION ALL SELECT t, NULL, origin, count(*) FROM children WHERE origin IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'hits', NULL, origin, count(*) FROM hits_judged WHERE origin IS NOT NULL GROUP BY ALL
 """

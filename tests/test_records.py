@@ -92,6 +92,37 @@ def test_cascade_reaches_a_fixpoint_over_chains_and_cycles(spark):
     assert {(r.rid, r.depth) for r in ring.collect()} == {("5", 0), ("6", 1)}
 
 
+def test_cascade_follows_a_chain_past_a_hundred_rounds(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        many = 104
+        records = spark.createDataFrame([("t", str(i), f"k{i}") for i in range(many)], "tbl string, rid string, key string")
+        refs = spark.createDataFrame([("t", str(i), "t", f"k{i - 1}") for i in range(1, many)], "tbl string, rid string, parent_tbl string, parent_key string")
+        got = orphans.cascade(records, refs, spark.createDataFrame([("t", "0")], "tbl string, rid string"))
+        assert {(r.rid, r.depth) for r in got.collect()} == {(str(i), i) for i in range(many)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_links_and_tags_of_an_orphaned_note_are_inherited_orphans(spark):
+    notes = spark.createDataFrame([("n.md", day(1), day(3), ""), ("m.md", day(1), None, "")], NOTES)
+    links = spark.createDataFrame([(1, "n.md", "m", day(2), ""), (2, "n.md", "nope", day(2), ""), (3, "m.md", "m", day(2), ""), (None, "n.md", "gone", day(2), "")], LINKS)
+    tags = spark.createDataFrame([(1, "n.md", "t", day(2)), (2, "n.md", "t", day(5))], TAGS)
+    collected = spark.createDataFrame([("n.md", "", "", "h", day(4), ""), ("m.md", "", "", "h", day(4), "")], COLLECTED)
+    got = orphans.vault_orphans({"notes": notes, "links": links, "tags": tags, "collected_notes": collected}).collect()
+    assert {(r.tbl, r.rid, r.depth) for r in got if r.rid != ""} == {("links", None, 0), ("links", "2", 0), ("tags", "2", 0), ("collected_notes", f"n.md|{day(4)}", 0), ("links", "1", 1), ("tags", "1", 1)}
+    assert {r.period for r in got} == {"2024-01"}
+    assert {(r.ref_table, r.ref_id) for r in orphans.direct_orphans(notes, links, tags).collect()} == {("links", None), ("links", 2), ("tags", 2)}
+
+
+def test_a_bulk_import_at_one_instant_keeps_every_row(spark):
+    notes = spark.createDataFrame([("hub.md", day(10), None, "")], NOTES)
+    links = spark.range(2000).select(F.col("id").alias("link_id"), F.lit("s").alias("path"), F.lit("hub").alias("target"), F.when(F.col("id") % 2 == 0, F.lit(day(1)).cast("timestamp_ntz")).alias("seen_at"), F.lit("").alias("kind"))
+    got = orphans.direct_orphans(notes, links, spark.createDataFrame([], TAGS)).collect()
+    assert {(r.ref_id, r.kind) for r in got} == {(i, "later") for i in range(0, 2000, 2)}
+
+
 COLLECTED = "path string, title string, text string, hash string, collected_at timestamp_ntz, change string"
 RUNS = "run_id long, path string, title string, hash string"
 
