@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,10 +70,11 @@ def note_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame) -
 class ChangeFeed:
     """A run over a change log that survives failure without skipping or repeating a record.
 
-    The log is a table ``part, seq, path, change, digest``: records spread by key over partitions, numbered within
+    The log is a table ``part, seq, path, change, digest, base``: records spread by key over partitions, numbered within
     each. A batch is planned by writing, ahead of any work, which offsets of which partitions it covers; work
     appends to the sink under the batch's name; a commit marks the end. After a failure the same plan is read back
-    and replayed, and readers take each (key, offset) once, so what a dead attempt left behind does no harm.
+    and replayed, and readers take each (key, offset) once, so what a dead attempt left behind does no harm. One run at
+    a time writes to a feed.
     """
 
     spark: SparkSession
@@ -83,31 +85,76 @@ class ChangeFeed:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return [str(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _move(self, source: str, target: str) -> None:
+        fs, p = self._fs(source)
+        if not fs.rename(p, self._fs(target)[1]):
+            raise OSError(f"cannot rename {source} to {target}")
+
     def _read_json(self, name: str):
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{name}").collect()))
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _write_json(self, name: str, value) -> None:
-        """Atomic: written beside and renamed."""
+        """Atomic: written beside and renamed. What is there already stays: a plan or commit is made once."""
         fs, p = self._fs(f"{self.root}/{name}.tmp")
         out = fs.create(p, True)
         out.write(bytearray(json.dumps(value), "utf-8"))
         out.close()
-        fs.rename(p, self._fs(f"{self.root}/{name}")[1])
+        if fs.exists(self._fs(f"{self.root}/{name}")[1]):
+            fs.delete(p, False)
+        else:
+            self._move(f"{self.root}/{name}.tmp", f"{self.root}/{name}")
+
+    def log(self) -> DataFrame:
+        """All that was appended, also what no batch covers yet."""
+        names = [n for n in self._names(f"{self.root}/log") if n.startswith("append-")]
+        read = self.spark.read.schema(_LOG)
+        return read.parquet(*[f"{self.root}/log/{n}" for n in names]) if names else self.spark.createDataFrame([], _LOG)
+
+    def _ends(self) -> dict[int, int]:
+        return {r.part: r.end for r in self.log().groupBy("part").agg((F.max("seq") + 1).alias("end")).collect()}  # one row a partition
 
     def append_log(self, changes: DataFrame, parts: int) -> DataFrame:
-        """Number the changes within each partition and add them to the log after its present end."""
-        fs, p = self._fs(f"{self.root}/log")
-        ends = {}
-        if fs.exists(p):
-            ends = {r.part: r.end for r in self.spark.read.parquet(f"{self.root}/log").groupBy("part").agg((F.max("seq") + 1).alias("end")).collect()}  # one row a partition
-        start = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])[F.col("part")] if ends else F.lit(None)
-        part = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")
-        seq = F.row_number().over(Window.partitionBy("part").orderBy("path", "change")) - 1
-        changes.withColumn("part", part).withColumn("seq", seq + F.coalesce(start.cast("long"), F.lit(0).cast("long"))).write.mode("append").parquet(f"{self.root}/log")
-        return self.spark.read.parquet(f"{self.root}/log")
+        """Number the changes (``path, change, digest`` and perhaps ``base``) within each partition and add them to the log
+        after its present end.
+
+        An append goes by the next batch's number and a digest of its rows. One of that name that is there already
+        is this one, tried before, and nothing is added: an append may be repeated until it succeeds. It is written
+        aside and renamed, so a dead attempt leaves nothing in the log.
+        """
+        base = F.col("base").cast("long") if "base" in changes.columns else F.lit(None).cast("long")
+        rows = changes.select(F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part"), "path", "change", "digest", base.alias("base"))
+        ends = self._ends()
+        start = F.coalesce(F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])[F.col("part")], F.lit(0)).cast("long") if ends else F.lit(0).cast("long")
+        seq = F.row_number().over(Window.partitionBy("part").orderBy("path", "change")) - 1 + start
+        aside = f"{self.root}/incoming-{uuid.uuid4().hex}"
+        rows.withColumn("seq", seq).select(*_LOG_COLUMNS).write.parquet(aside)
+        mark = F.bit_xor(F.xxhash64("path", "change", "digest", "base"))
+        r = self.spark.read.schema(_LOG).parquet(aside).agg(F.count("*").alias("n"), mark.alias("mark")).first()
+        name = f"append-{self._planned() + 1}-{r.n}-{(r.mark or 0) & (2**64 - 1):x}"
+        fs, p = self._fs(aside)
+        if r.n == 0 or name in self._names(f"{self.root}/log"):
+            fs.delete(p, True)
+        else:
+            fs.mkdirs(self._fs(f"{self.root}/log")[1])
+            self._move(aside, f"{self.root}/log/{name}")
+        return self.log()
+
+    def _numbers(self, kind: str) -> list[int]:
+        return [int(n[len(kind) + 1 : -5]) for n in self._names(self.root) if n.startswith(f"{kind}-") and n.endswith(".json")]
+
+    def _planned(self) -> int:
+        return max(self._numbers("plan"), default=-1)
 
     def plan(self) -> dict:
         """The batch to run: the uncommitted plan of a failed run as it was, else a new one from the committed offsets."""
@@ -115,21 +162,23 @@ class ChangeFeed:
         planned = self._read_json(f"plan-{state['batch'] + 1}.json")
         if planned:
             return planned
-        ends = {str(r.part): int(r.end) for r in self.spark.read.parquet(f"{self.root}/log").groupBy("part").agg((F.max("seq") + 1).alias("end")).collect()}
-        planned = {"batch": state["batch"] + 1, "from": state["ends"], "to": ends}
+        planned = {"batch": state["batch"] + 1, "from": state["ends"], "to": {str(k): int(v) for k, v in self._ends().items()}}
         self._write_json(f"plan-{planned['batch']}.json", planned)
         return planned
 
     def pending(self) -> bool:
         """Whether a run has planned a batch and not committed it."""
-        return self._read_json(f"plan-{self._state()['batch'] + 1}.json") is not None
+        return self._planned() > self._state()["batch"]
+
+    def behind(self) -> bool:
+        """Whether the log holds what no committed batch covers."""
+        return {str(k): int(v) for k, v in self._ends().items()} != self._state()["ends"]
 
     def batch(self, plan: dict) -> DataFrame:
         """The records that a plan covers; its bounds are two numbers a partition."""
-        log = self.spark.read.parquet(f"{self.root}/log")
         bounds = [(int(k), int(plan["from"].get(k, 0)), int(v)) for k, v in plan["to"].items()]
         at = self.spark.createDataFrame(bounds or [(-1, 0, 0)], "part int, low long, high long")
-        return log.join(F.broadcast(at), "part").where("seq >= low and seq < high").drop("low", "high")
+        return self.log().join(F.broadcast(at), "part").where("seq >= low and seq < high").drop("low", "high")
 
     def run(self, work=lambda df: df) -> dict:
         """Plan, do ``work`` on the batch into the sink, commit."""
@@ -143,26 +192,54 @@ class ChangeFeed:
         self._write_json(f"commit-{plan['batch']}.json", {"batch": plan["batch"], "ends": plan["from"] | plan["to"]})
 
     def _state(self) -> dict:
-        fs, p = self._fs(self.root)
-        names = [str(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
-        done = [int(n[7:-5]) for n in names if n.startswith("commit-") and n.endswith(".json")]
+        done = self._numbers("commit")
         return self._read_json(f"commit-{max(done)}.json") if done else {"batch": -1, "ends": {}}
 
     def sink(self) -> DataFrame:
         """What was delivered, each (partition, offset, key) once whatever was replayed."""
+        if not self._names(f"{self.root}/sink"):
+            return self.spark.createDataFrame([], f"{_LOG}, batch int")
         return self.spark.read.parquet(f"{self.root}/sink").dropDuplicates(["part", "seq", "path"])
 
 
-def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 256, root: str | None = None, work=lambda df: df) -> DataFrame:
-    """``path, change`` of the notes to process, delivered through a :class:`ChangeFeed`.
+_LOG = "part int, seq long, path string, change string, digest string, base long"
+_LOG_COLUMNS = [f.split()[0] for f in _LOG.split(", ")]
+#: What the log says of a path whose change has been taken back: nothing to do any more.
+SETTLED = "settled"
+
+
+def latest(delivered: DataFrame, run: DataFrame) -> DataFrame:
+    """``path, change, digest``: what a log or sink said last (by offset) of each path since the run of ``run``
+    (``run_id``, one row at most), settled paths included. A path lies in one partition, so its offsets are in order."""
+    since = F.broadcast(run.select(F.col("run_id").cast("long").alias("base")))
+    own = delivered.join(since, "base", "left_semi") if not run.isEmpty() else delivered.where(F.col("base").isNull())
+    return own.groupBy("path").agg(F.max_by(F.struct("change", "digest"), "seq").alias("m")).select("path", "m.change", "m.digest")
 
-    ``root`` is the feed's folder: one that stays the same between runs makes a call after a failed one replay that
-    one's plan, without computing its changes anew; the call after that takes up what has changed since. None is a
-    new folder in the shared one.
+
+def capture_changes(collected: DataFrame, meta_notes: DataFrame, meta: DataFrame, parts: int = 256, root: str | None = None, work=lambda df: df) -> DataFrame:
+    """``path, change`` of the notes to process since the latest good run, delivered through a :class:`ChangeFeed`.
+
+    ``root`` is the feed's folder and stays the same between runs (None: a new one in the shared folder). A call first
+    replays the plan of a call that failed, if there is one, without computing its changes anew. Then only what the
+    log does not say yet since that good run is appended, planned, worked on and committed: a note whose change is in
+    the log already is not worked on again, one that changed again is, and one whose change was taken back is
+    recorded as settled. Out comes what the sink says last of each path since the good run. With another good run
+    the comparison starts anew.
     """
     spark = collected.sparkSession
     feed = ChangeFeed(spark, root or scratch_path(spark, "changes"))
-    if not feed.pending():
-        feed.append_log(note_changes(collected, meta_notes, meta), parts)
-    plan = feed.run(work)
-    return feed.sink().where(F.col("batch") == plan["batch"]).select("path", "change").distinct()
+    if feed.pending():
+        feed.run(work)
+    run = latest_good_run(meta)
+    run = spark.createDataFrame(run.collect(), "run_id long")  # one row at most
+    said = latest(feed.log(), run)
+    now = note_changes(collected, meta_notes, meta)
+    both = now.join(said.select("path", F.col("change").alias("was"), F.col("digest").alias("had")), "path", "full_outer")
+    same = F.col("change").eqNullSafe(F.col("was")) & F.col("digest").eqNullSafe(F.col("had"))
+    back = F.col("change").isNull() & (F.col("was") == SETTLED)
+    base = run.first()
+    fresh = both.where(~same & ~back).select("path", F.coalesce("change", F.lit(SETTLED)).alias("change"), "digest", F.lit(base.run_id if base else None).cast("long").alias("base"))
+    feed.append_log(fresh, parts)
+    if feed.behind():
+        feed.run(work)
+    return latest(feed.sink(), run).where(F.col("change") != SETTLED).select("path", "change")

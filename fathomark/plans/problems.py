@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomark.operators import changes, orphans
-from fathomark.session import table
+from fathomark.session import shared_dir, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +21,9 @@ def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return changes.capture_changes(*(table(spark, d, n) for n in ("collected_notes", "meta_notes", "meta")))
+    """The feed of a data directory stays in the shared folder: a second call works off only what is new since the first."""
+    root = f"{shared_dir(spark).rstrip('/')}/fathomark/feeds/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return changes.capture_changes(*(table(spark, d, n) for n in ("collected_notes", "meta_notes", "meta")), root=root)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cascade": p1_cascade, "p6_found": p6_found}
@@ -82,13 +85,17 @@ UNION ALL SELECT t, NULL, origin, count(*) FROM children WHERE origin IS NOT NUL
 UNION ALL SELECT 'hits', NULL, origin, count(*) FROM hits_judged WHERE origin IS NOT NULL GROUP BY ALL
 """
 
-_P6 = """
-WITH runs AS (
+#: The latest good run.
+RUN_SQL = """
+runs AS (
   SELECT CAST(regexp_extract(key, '^\\s*run/(\\d+)/', 1) AS BIGINT) AS run_id,
          bool_and(lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) = 'ok') FILTER (key LIKE '%/state%') AS ok,
          max(TRY_CAST(value AS DOUBLE)) FILTER (key LIKE '%/generated%') AS seen
   FROM meta WHERE regexp_matches(key, '^\\s*run/\\d+/') GROUP BY 1),
-run AS (SELECT run_id FROM runs WHERE ok ORDER BY seen DESC NULLS LAST, run_id DESC LIMIT 1),
+run AS (SELECT run_id FROM runs WHERE ok ORDER BY seen DESC NULLS LAST, run_id DESC LIMIT 1)"""
+
+_P6 = f"""
+WITH {RUN_SQL},
 now AS (SELECT path, lower(trim(arg_max(hash, collected_at))) AS h FROM collected_notes WHERE path IS NOT NULL GROUP BY path),
 was AS (SELECT path, list(DISTINCT lower(trim(hash))) FILTER (hash IS NOT NULL) AS hs FROM meta_notes SEMI JOIN run USING (run_id) WHERE path IS NOT NULL GROUP BY path)
 SELECT path, CASE WHEN was.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'deleted' ELSE 'changed' END AS change

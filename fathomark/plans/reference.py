@@ -11,6 +11,7 @@ from fathomark.functions import text as tx
 from fathomark.functions.parse import parse_texts
 from fathomark.operators import browse, changes, fusion, graph, health, lexical, vector
 from fathomark.plans import vault
+from fathomark.plans.problems import RUN_SQL
 from fathomark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,8 +301,8 @@ ORACLES: dict[str, str] = {
     "hybrid_rrf": f"{WITH}, {_bm25_sql(['pipeline'], 40)}, {_NEAREST}, {_RRF}",
     "hybrid_degraded": f"{WITH}, {_bm25_sql(['pipeline'], 40)} SELECT path, round(1.0 / (60 + row_number() OVER (ORDER BY round(bm.score, 9) DESC, path)), 12) AS score, 'bm25' AS via FROM bm ORDER BY score DESC LIMIT 10",
     "hybrid_via": f"{WITH}, {_bm25_sql(['pipeline'], 40)}, {_NEAREST}, {_RRF}".replace("SELECT path, round(coalesce", "SELECT via, count(*) AS n FROM (SELECT path, round(coalesce") + ") GROUP BY via",
-    "embed_plan": """WITH now AS (SELECT path, arg_max(hash, {'a': collected_at, 'h': hash}) AS h FROM collected_notes WHERE path IS NOT NULL GROUP BY path),
-old AS (SELECT path, max(hash) AS o FROM meta_notes WHERE run_id = 3 AND path IS NOT NULL GROUP BY path)
+    "embed_plan": f"""WITH {RUN_SQL}, now AS (SELECT path, arg_max(hash, {{'a': collected_at, 'h': hash}}) AS h FROM collected_notes WHERE path IS NOT NULL GROUP BY path),
+old AS (SELECT path, max(hash) AS o FROM meta_notes SEMI JOIN run USING (run_id) WHERE path IS NOT NULL GROUP BY path)
 SELECT path, CASE WHEN now.path IS NULL THEN 'drop' WHEN old.path IS NOT NULL AND h = o THEN 'keep' ELSE 'encode' END AS action FROM now FULL JOIN old USING (path)""",
     "health_no_tags": f"{WITH} SELECT path, title, word_count FROM n WHERE path NOT IN (SELECT path FROM t)",
     "health_no_summary": f"{WITH} SELECT path, title, word_count FROM n WHERE summary = ''",

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +52,44 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_RUNS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/fathomark/{label}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table below the shared folder, in this application's own folder there.
+
+    That folder is deleted when the Python process ends; what a killed process leaves behind, :func:`clear_scratch` takes.
+    """
+    run = f"{shared_dir(spark).rstrip('/')}/fathomark/run-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run)
+    return f"{run}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001  (the JVM may be gone already)
+        pass
+
+
+def clear_scratch(spark: SparkSession, older_hours: float = 24) -> int:
+    """Delete intermediate tables of other applications that have not been written to for ``older_hours``; how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/fathomark")
+    fs = base.getFileSystem(conf)
+    gone = 0
+    for s in fs.listStatus(base) if fs.exists(base) else []:
+        name = s.getPath().getName()
+        if name.startswith("run-") and name != f"run-{spark.sparkContext.applicationId}" and s.getModificationTime() < (time.time() - older_hours * 3600) * 1000:
+            gone += bool(fs.delete(s.getPath(), True))
+    return gone
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it again: lineage ends there, on replicated storage."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

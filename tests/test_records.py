@@ -152,29 +152,60 @@ def test_embedding_plan_compares_with_the_latest_good_run(spark, tmp_path):
     assert sorted((r.path, r.action) for r in reference.embed_plan(spark, str(tmp_path)).collect()) == [("gone", "drop"), ("new", "encode"), ("same", "keep")]
 
 
-def test_changes_resume_a_failed_run_in_the_same_folder(spark, tmp_path):
+@pytest.mark.parametrize("step", ["append_log", "plan", "batch", "commit"])
+@pytest.mark.parametrize("after", [False, True])
+def test_changes_survive_a_failure_at_each_step(spark, tmp_path, monkeypatch, step, after):
+    """The call fails before or after ``step``; the next one delivers each change once, and works on none twice after a commit."""
     root, made = f"file://{tmp_path}/feed", [("run/1/state", "ok")]
     first = tables(spark, [("a", "", "", "1", day(1), ""), ("b", "", "", "2", day(1), "")], [(1, "c", "", "3")], made)
+    real = getattr(changes.ChangeFeed, step)
 
-    commit, plans = changes.ChangeFeed.commit, []
+    def fails(self, *args):
+        if after:
+            real(self, *args)
+        raise OSError("lost")
 
-    def fails(self, plan):
-        plans.append(plan)
-        raise OSError("between sink and commit")
-
-    changes.ChangeFeed.commit = fails
-    try:
-        with pytest.raises(OSError, match="between"):
+    with monkeypatch.context() as m:
+        m.setattr(changes.ChangeFeed, step, fails)
+        with pytest.raises(OSError, match="lost"):
             changes.capture_changes(*first, parts=4, root=root)
-    finally:
-        changes.ChangeFeed.commit = commit
-    feed = changes.ChangeFeed(spark, root)
-    assert feed.plan() == plans[0]
-    later = tables(spark, [("d", "", "", "1", day(1), "")], [(1, "d", "", "0")], made)
     want = [("a", "added"), ("b", "added"), ("c", "deleted")]
-    assert sorted(tuple(r) for r in changes.capture_changes(*later, parts=4, root=root).collect()) == want
-    assert [tuple(r) for r in changes.capture_changes(*later, parts=4, root=root).collect()] == [("d", "changed")]
-    assert sorted((r.path, r.change) for r in feed.sink().collect()) == [*want, ("d", "changed")]
+    assert sorted(tuple(r) for r in changes.capture_changes(*first, parts=4, root=root).collect()) == want
+    feed = changes.ChangeFeed(spark, root)
+    assert sorted((r.path, r.change) for r in feed.sink().collect()) == want and not feed.pending() and not feed.behind()
+
+
+def test_changes_go_on_from_the_offsets_of_the_call_before(spark, tmp_path):
+    root, made = f"file://{tmp_path}/feed", [("run/1/state", "ok")]
+    worked: list[list] = []
+
+    def work(df):
+        worked.append(sorted((r.path, r.change) for r in df.collect()))
+        return df
+
+    def call(collected, runs, meta=made):
+        frames = tables(spark, [(p, "", "", h, day(1), "") for p, h in collected], runs, meta)
+        return sorted(tuple(r) for r in changes.capture_changes(*frames, parts=4, root=root, work=work).collect())
+
+    runs = [(1, "c", "", "3"), (1, "e", "", "5")]
+    assert call([("a", "1"), ("e", "5")], runs) == [("a", "added"), ("c", "deleted")] == worked[-1]
+    assert call([("a", "1"), ("e", "5")], runs) == [("a", "added"), ("c", "deleted")] and len(worked) == 1  # nothing anew
+    assert call([("a", "2"), ("e", "6")], runs) == [("a", "added"), ("c", "deleted"), ("e", "changed")]
+    assert worked[-1] == [("a", "added"), ("e", "changed")]  # changed again, and newly changed
+    assert call([("a", "2"), ("e", "5"), ("c", "3")], runs) == [("a", "added")] and worked[-1] == [("c", changes.SETTLED), ("e", changes.SETTLED)]
+    later = [*runs, (2, "a", "", "2"), (2, "e", "", "0")]
+    assert call([("a", "2"), ("e", "5")], later, [*made, ("run/2/state", "ok")]) == [("e", "changed")] == worked[-1]
+    assert call([("a", "2"), ("e", "5")], later, [*made, ("run/2/state", "ok")]) == [("e", "changed")] and len(worked) == 4
+
+
+def test_a_retried_append_adds_nothing(spark, tmp_path):
+    feed = changes.ChangeFeed(spark, f"file://{tmp_path}/feed")
+    df = spark.createDataFrame([("a", "added", "1"), ("b", "added", None)], "path string, change string, digest string")
+    assert feed.append_log(df, 4).count() == 2 and feed.append_log(df, 4).count() == 2
+    other = feed.append_log(spark.createDataFrame([("a", "changed", "2")], df.schema), 4)
+    assert sorted((r.path, r.change) for r in other.collect()) == [("a", "added"), ("a", "changed"), ("b", "added")]
+    feed.run()
+    assert feed.sink().count() == 3 and feed.append_log(df, 4).count() == 5  # after a commit the same change is a new one
 
 
 def test_without_a_good_run_everything_is_added(spark):
