@@ -34,3 +34,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: S
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], count: str, total: int, salts: int = 64) -> DataFrame:
+    """Inner join of a table with hot keys to one that says, in ``count``, how many of the big side's rows a key has.
+
+    Keys with more than a thousandth of the ``total`` rows, of which there are fewer than a thousand and which are
+    broadcast for that reason, are spread over ``salts`` tasks by a hash of ``spread``; only their rows of the small
+    side are repeated. ``small`` is read twice, so it should be a written table. Keys must not be null.
+    """
+    many = F.col(count) * 1000 > F.lit(int(total))
+    hot = small.where(many).select(*keys).distinct().withColumn("_hot", F.lit(True))
+    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = small.withColumn("_salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")

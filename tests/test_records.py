@@ -7,7 +7,7 @@ import random
 
 import pytest
 from fathomark.operators import changes, orphans
-from fathomark.operators.ordering import running_before
+from fathomark.operators.ordering import hot_join, running_before
 from pyspark.sql import functions as F
 
 NOTES = "path string, ingested_at timestamp_ntz, deleted_at timestamp_ntz, extra string"
@@ -240,3 +240,10 @@ def test_running_sums_over_ranges(spark):
         for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], -r[2]))):
             want[r] = n
     assert {(r.g, r.a, r.b): r.before for r in got} == want
+
+
+def test_hot_join_keeps_every_row(spark):
+    big = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = hot_join(big, small, ["k"], ["id"], "n", 5000, 8).collect()
+    assert len(got) == 5000 and {(r.k, r.n, r.least) for r in got if r.k == 0} == {(0, 3000, 0)} and len({r.id for r in got}) == 5000
