@@ -17,8 +17,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of every vector whose id is divisible by 20, by a scan of all codes."""
-    return neighbours.neighbours(table(spark, d, "note_vectors"), asked=F.col("vec_id") % 20 == 0, probes=None)
+    """The five nearest of every vector whose id is divisible by 20, through the index with its number of cells tuned."""
+    return neighbours.neighbours(table(spark, d, "note_vectors"), asked=F.col("vec_id") % 20 == 0)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

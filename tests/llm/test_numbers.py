@@ -30,9 +30,36 @@ def test_recall_against_brute_force(spark):
     df = table(spark, zip(ids.tolist(), x * rng.uniform(0.1, 9, (len(x), 1)), strict=True))
     got = {(r.vec_a // 3, r.vec_b // 3) for r in neighbours.similar_pairs(df).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) > 0
-    asked = neighbours.neighbours(df, 5, F.col("vec_id") % 20 == 0, probes=None).collect()
-    right = sum(r.other // 3 in top[r.vec_id // 3] for r in asked)
-    assert right >= 0.9 * 5 * sum(ids % 20 == 0)
+    for index in ({}, {"per_cell": 20, "most_centres": 16}):  # one level of cells, and two
+        asked = neighbours.neighbours(df, 5, F.col("vec_id") % 20 == 0, **index).collect()
+        right = sum(r.other // 3 in top[r.vec_id // 3] for r in asked)
+        assert right >= 0.9 * 5 * sum(ids % 20 == 0), index
+        whole = neighbours.neighbours(df, 5, F.col("vec_id") % 20 == 0, exact=True, probes=3, **index).collect()
+        assert {(r.vec_id // 3, r.other // 3) for r in whole} == {(a, b) for a in range(len(x)) if ids[a] % 20 == 0 for b in top[a]}, index
+
+
+def test_cells_grow_with_the_vectors():
+    rng = np.random.default_rng(2)
+    x = neighbours._unit(rng.normal(size=(4000, 32)))
+    z = neighbours.Quantiser.fit(x, 16, 16)
+    coarse, fine = z.cells(x)
+    assert len(set(zip(coarse.tolist(), fine.tolist(), strict=True))) > 200
+    cell, inner = z.order(x[:200], 256)
+    assert cell.shape == (200, 256) and len({*zip(cell[0].tolist(), inner[0].tolist(), strict=True)}) == 256
+    place = [np.flatnonzero((cell[i] == coarse[i]) & (inner[i] == fine[i]))[0] for i in range(200)]
+    assert np.mean(place) < 3  # a vector's own cell is among its first
+
+
+def test_other_lengths_and_many_copies(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3, 32))
+    rows = [(i, v[0]) for i in range(40)] + [(100, v[1]), (101, v[1]), (200, v[0] + 0.1 * v[2]), (300, np.ones(64))]
+    near = neighbours.neighbours(table(spark, rows), 10, dimensions=32, exact=True).collect()
+    per = {}
+    for r in sorted(near, key=lambda r: r.place):
+        per.setdefault(r.vec_id, []).append(r.other)
+    assert per.keys() == {i for i, _ in rows} - {300} and all(len(n) == 10 for n in per.values())
+    assert per[39] == list(range(10)) and per[3] == [0, 1, 2, *range(4, 11)] and per[200] == list(range(10)) and per[100][0] == 101
 
 
 def test_unusable_vectors_and_copies(spark):
@@ -43,7 +70,7 @@ def test_unusable_vectors_and_copies(spark):
     assert neighbours.similar_pairs(table(spark, rows[2:6])).count() == 0
     assert neighbours.similar_pairs(table(spark, [])).count() == 0
     hot = table(spark, [(i, v[0]) for i in range(400)] + [(1000, v[0] + 0.2 * v[3])])
-    near = neighbours.neighbours(hot, 5).collect()
+    near = neighbours.neighbours(hot, 5, exact=True).collect()
     per = {k: [r.other for r in sorted(g, key=lambda r: r.place)] for k, g in itertools.groupby(sorted(near, key=lambda r: r.vec_id), key=lambda r: r.vec_id)}
     assert per[0] == [1, 2, 3, 4, 5] and per[3] == [0, 1, 2, 4, 5] and per[399] == [0, 1, 2, 3, 4] and per[1000] == [0, 1, 2, 3, 4] and len(per) == 401
 
@@ -61,9 +88,10 @@ def test_no_near_copy_is_lost(spark):
     want = {(min(a, b), max(a, b)) for a in range(len(x)) for b in top[a] if score[a, b] >= 0.9}
     df = table(spark, enumerate(x))
     assert {tuple(r) for r in neighbours.similar_pairs(df).collect()} == want
-    for probes, every in ((None, 20), (12, 40)):
-        asked = neighbours.neighbours(df, 5, F.col("vec_id") % every == 0, probes=probes).collect()
-        assert {(r.vec_id, r.other) for r in asked} == {(a, b) for a in range(0, len(x), every) for b in top[a]}
+    asked = neighbours.neighbours(df, 5, F.col("vec_id") % 40 == 0, exact=True, probes=12).collect()
+    assert {(r.vec_id, r.other) for r in asked} == {(a, b) for a in range(0, len(x), 40) for b in top[a]}
+    tuned = neighbours.neighbours(df, 5, F.col("vec_id") % 20 == 0).collect()
+    assert sum(r.other in top[r.vec_id] for r in tuned) >= 0.9 * 5 * len(range(0, len(x), 20))
 
 
 def test_anisotropic_codes_keep_inner_products():
