@@ -1,10 +1,11 @@
 """Reading level of documents: difficulty spreads from graded documents over words to all documents.
 
 The graph joins documents to the words of their sentences. Graded documents are clamped to their grade. A word's
-difficulty is the mean of its documents', a sentence's the mean of its words' (the sharper a word's, the more it
-counts), and a document's continuous level is what its sentences' difficulties make most likely. Both steps repeat
-until words settle. Words are hashed into a fixed number of buckets, so what the driver and every worker hold of
-the graph, one number pair a bucket, has a size that does not grow with the corpus; documents stay distributed.
+difficulty is the mean of its documents', a document's level the weighted mean of its words' (the sharper a word's, the
+more it counts); both steps repeat until levels settle. Bands are read off afterwards: from how the difficulties of a
+document's sentences are distributed, as the graded documents of each band have them. Words are hashed into a fixed
+number of buckets, so what the driver and every worker hold of the graph, one number pair a bucket, has a size that
+does not grow with the corpus; documents stay distributed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from fathomark.llm.markup import mask
 from fathomark.session import materialise
 
 #: Hash buckets for words; a documented bound on what is broadcast (8 bytes each) and collected (28 bytes each).
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: What all ungraded documents together weigh against all graded ones as words take their means. At equal weight the
+#: levels of so dense a graph run together.
+UNGRADED = 0.2
 #: Labels up to this number are broadcast to the documents; more are joined by shuffle.
 LABELS_BROADCAST = 500_000
 #: Sentence difficulties are told apart in this many steps.
@@ -33,14 +37,6 @@ LEAST_CHARS = 300
 #: The band of texts without anything to judge by, where there are no labels to take the mean of.
 FALLBACK = 2
 
-# Frequent words by which a text's language is told; Japanese is told by its script.
-STOPWORDS = {
-    "de": "der die das und ist wir ein eine im nicht wurde jeder keine den",
-    "en": "the is and it of we a to in was no my there",
-    "fr": "le la les est un une et il nous des du aucun dans",
-}
-LANGUAGES = ("", *STOPWORDS, "ja")
-
 _FRONT = re.compile(r"\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\Z)", re.S)
 _LINKS = re.compile(r"\[\[[^\]\n]*\]\]|</?[A-Za-z][^<>]*>|\\[A-Za-z]+|https?://\S+|[\x01-\x03]")
 
@@ -62,17 +58,8 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
 
-def _stop_buckets() -> dict[str, np.ndarray]:
-    out = {}
-    for name, words in STOPWORDS.items():
-        whole, points, ends = join(words.split())
-        out[name] = np.unique(_bucket(run_hashes(points, ends[:-1], ends[1:], BASES[0])))
-    return out
-
-
-def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets of all sentences end to end, each sentence's number of words, each text's number of sentences,
-    and each text's language (an index of :data:`LANGUAGES`).
+def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word buckets of all sentences end to end, each sentence's number of words, and each text's number of sentences.
 
     Words are runs of letters in lower case; runs of kana and ideographs count as their overlapping pairs. A word
     counts once a sentence; sentences of fewer than two words are none.
@@ -80,7 +67,7 @@ def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     whole, points, ends = join(texts)
     many = len(texts)
     if not len(points):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(many, np.int64), np.zeros(many, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(many, np.int64)
     low = lower()[points]
     kind = classes()[points]
     letter = kind == LETTER
@@ -108,23 +95,16 @@ def sentence_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     keep = sizes >= 2
     words = words[keep[own]]
     texts_kept = text_of[keep]
-    language = np.zeros((many, len(LANGUAGES)))
-    language[:, 0] = 0.5
-    word_text = np.repeat(texts_kept, sizes[keep])
-    for name, known in _stop_buckets().items():
-        language[:, LANGUAGES.index(name)] = np.bincount(word_text, np.isin(words, known), many)
-    signs = np.concatenate(([0], np.cumsum(script)))[ends]
-    language[np.diff(signs) * 3 > np.diff(ends), LANGUAGES.index("ja")] = np.inf
-    return words, sizes[keep], np.bincount(texts_kept, minlength=many), language.argmax(1)
+    return words, sizes[keep], np.bincount(texts_kept, minlength=many)
 
 
 #: Longer texts are read in runs of lines of about this many characters.
 GIANT = 2_000_000
 
 
-def sentences_of(texts: list[str], giant: int = GIANT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sentences_of(texts: list[str], giant: int = GIANT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`sentence_words`, with texts of more than ``giant`` characters read in runs of whole lines, where
-    sentences end anyway; such a text has the language of most of its runs."""
+    sentences end anyway: the result is the same."""
     if not any(len(t) > giant for t in texts):
         return sentence_words(texts)
     runs, owner = [], []
@@ -136,13 +116,11 @@ def sentences_of(texts: list[str], giant: int = GIANT) -> tuple[np.ndarray, np.n
             at = end
         runs.append(t[at:])
         owner.append(i)
-    words, sizes, sentences, language = (np.concatenate(x) for x in zip(*(sentence_words([r]) for r in runs), strict=True))
-    votes = np.zeros((len(texts), len(LANGUAGES)))
-    np.add.at(votes, (owner, language), np.maximum(sentences, 1e-9))
-    return words, sizes, np.bincount(owner, sentences, len(texts)).astype(np.int64), votes.argmax(1)
+    words, sizes, sentences = (np.concatenate(x) for x in zip(*(sentence_words([r]) for r in runs), strict=True))
+    return words, sizes, np.bincount(owner, sentences, len(texts)).astype(np.int64)
 
 
-_PREPARED = "doc_id long, chars int, language int, words array<int>, sizes array<int>"
+_PREPARED = "doc_id long, chars int, words array<int>, sizes array<int>"
 
 
 def prepared(documents: DataFrame) -> DataFrame:
@@ -158,16 +136,16 @@ def prepared(documents: DataFrame) -> DataFrame:
                     texts.append(column[end].as_py())
                     size += len(texts[-1])
                     end += 1
-                words, sizes, sentences, language = sentences_of([prose(t) for t in texts])
+                words, sizes, sentences = sentences_of([prose(t) for t in texts])
                 at = np.concatenate(([0], np.cumsum(sentences)))
                 word_at = np.concatenate(([0], np.cumsum(sizes)))[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(begin, end - begin), pa.array([len(t) for t in texts], pa.int32()), pa.array(language, pa.int32()),
+                        ids.slice(begin, end - begin), pa.array([len(t) for t in texts], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(word_at, pa.int32()), pa.array(words, pa.int32())),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sizes, pa.int32())),
                     ],
-                    names=["doc_id", "chars", "language", "words", "sizes"],
+                    names=["doc_id", "chars", "words", "sizes"],
                 )
                 begin = end
 
@@ -189,77 +167,94 @@ class _Words:
 
     @staticmethod
     def of(rows: pa.Table) -> _Words:
+        """The sharper a word's difficulty and the more documents tell of it, the more it weighs; of few documents it
+        is taken to spread by a band."""
         den, num, sq = (np.zeros(BUCKETS) for _ in range(3))
         at = rows["bucket"].to_numpy()
         for into, name in ((den, "den"), (num, "num"), (sq, "sq")):
             into[at] = rows[name].to_numpy()
         held = np.maximum(den, 1e-9)
         mean = num / held
-        spread = np.maximum(sq / held - mean**2, 0)
-        return _Words(mean, (den > 0.5) * den / (den + 1) / (spread + 0.15))
+        spread = (np.maximum(sq / held - mean**2, 0) * den + 1) / (den + 1)
+        return _Words(mean, den / (den + 1) / (spread + 0.15))
+
+    def levels(self, words: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The level of each document, the weighted mean of its words, and whether any of them is known."""
+        of = np.repeat(np.arange(len(each)), each)
+        weight = self.weight[words].astype(float)
+        total = np.bincount(of, weight, len(each))
+        return np.bincount(of, weight * self.mean[words], len(each)) / np.maximum(total, 1e-30), total > 0
 
     def steps(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The difficulty step of each sentence, -1 where none of its words is known."""
         if not len(sizes):
             return np.zeros(0, np.int64)
         at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        weight = self.weight[words]
+        weight = self.weight[words].astype(float)
         total = np.add.reduceat(weight, at)
-        level = np.add.reduceat(weight * self.mean[words], at) / np.maximum(total, 1e-9)
+        level = np.add.reduceat(weight * self.mean[words], at) / np.maximum(total, 1e-30)
         low, high = BANDS[0], BANDS[-1]
         step = np.clip(((level - low) / (high - low) * STEPS).astype(np.int64), 0, STEPS - 1)
         return np.where(total > 0, step, -1)
 
 
-def _levels(b: pa.RecordBatch, words: _Words, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's probability of every band, and whether it has a sentence to judge by."""
+def _bands(b: pa.RecordBatch, words: _Words, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's likeliest band by its sentences, and whether it has a sentence to judge by."""
     flat, _ = _lists(b.column("words"))
     sizes, sentences = _lists(b.column("sizes"))
     step = words.steps(flat, sizes)
     text = np.repeat(np.arange(b.num_rows), sentences)
     good = step >= 0
     text, step = text[good], step[good]
-    language = b.column("language").to_numpy()
-    logs = np.stack([np.bincount(text, chance[language[text], k, step], b.num_rows) for k in range(len(BANDS))], axis=1)
-    odds = np.exp(logs - logs.max(1, keepdims=True))
-    return odds / odds.sum(1, keepdims=True), np.bincount(text, minlength=b.num_rows) > 0
+    logs = np.stack([np.bincount(text, chance[k, step], b.num_rows) for k in range(len(BANDS))], axis=1)
+    return logs.argmax(1) + BANDS[0], np.bincount(text, minlength=b.num_rows) > 0
 
 
-def _spread(docs: DataFrame, words: _Words | None, chance: np.ndarray | None, unsure: float) -> DataFrame:
-    """``bucket, den, num, sq``: weights, levels and squares that documents give their words."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, chance))
+def _spread(docs: DataFrame, words: _Words | None, last: _Words | None, trust: float) -> tuple[pa.Table, float]:
+    """``bucket, den, num, sq``: weights, levels and squares that documents give their words; and by how much the levels
+    of ungraded documents have moved since ``last`` on average."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, chance = shared.value
+        words, last = shared.value
         sums = np.zeros((3, BUCKETS))
+        moved, count = 0.0, 0
         for b in batches:
             if not b.num_rows:
                 continue
             grade = b.column("grade").to_numpy(zero_copy_only=False).astype(float)
             graded = ~np.isnan(grade)
-            if words is None:
-                level, trust = np.where(graded, grade, 0), graded.astype(float)
-            else:
-                odds, known = _levels(b, words, chance)
-                level = np.where(graded, grade, odds @ np.array(BANDS, float))
-                trust = np.where(graded, 1.0, unsure * known)
             flat, each = _lists(b.column("words"))
-            w, f = np.repeat(trust, each), np.repeat(level, each)
+            level, weight = np.where(graded, grade, 0), graded.astype(float)
+            if words is not None:
+                own, known = words.levels(flat, each)
+                level, weight = np.where(graded, grade, own), np.where(graded, 1.0, trust * known)
+                free = ~graded & known
+                if last is not None:
+                    before, had = last.levels(flat, each)
+                    moved += float(np.where(had, np.abs(own - before), 1.0)[free].sum())
+                    count += int(free.sum())
+            w, f = np.repeat(weight, each), np.repeat(level, each)
             for k, part in enumerate((w, w * f, w * f * f)):
                 sums[k] += np.bincount(flat, part, BUCKETS)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(s[at]) for s in sums)], names=["bucket", "den", "num", "sq"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(count)]), pa.array([moved]), pa.array([0.0])], names=["bucket", "den", "num", "sq"])
 
-    parts = docs.select("grade", "language", "words", "sizes").mapInArrow(run, "bucket int, den double, num double, sq double")
-    return parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("den", "num", "sq")])
+    parts = docs.select("grade", "words").mapInArrow(run, "bucket int, den double, num double, sq double")
+    rows = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("den", "num", "sq")]).toArrow()  # at most BUCKETS + 1 rows
+    at = rows["bucket"].to_numpy()
+    total = np.flatnonzero(at < 0)
+    moved = float(rows["num"].to_numpy()[total].sum() / max(rows["den"].to_numpy()[total].sum(), 1))
+    return rows.filter(pa.array(at >= 0)), moved
 
 
 def _chances(graded: DataFrame, words: _Words) -> np.ndarray:
-    """Log probability of each difficulty step by language and band, counted over the graded documents' sentences."""
+    """Log probability of each difficulty step by band, counted over the graded documents' sentences."""
     shared = graded.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(LANGUAGES), len(BANDS), STEPS), np.int64)
+        counts = np.zeros((len(BANDS), STEPS), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -267,21 +262,24 @@ def _chances(graded: DataFrame, words: _Words) -> np.ndarray:
             sizes, sentences = _lists(b.column("sizes"))
             step = shared.value.steps(flat, sizes)
             text = np.repeat(np.arange(b.num_rows), sentences)
-            band = np.clip(np.rint(b.column("grade").to_numpy().astype(float)), BANDS[0], BANDS[-1]).astype(np.int64) - BANDS[0]
+            band = _whole(b.column("grade").to_numpy().astype(float)) - BANDS[0]
             good = step >= 0
-            np.add.at(counts, (b.column("language").to_numpy()[text[good]], band[text[good]], step[good]), 1)
+            np.add.at(counts, (band[text[good]], step[good]), 1)
         at = np.argwhere(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k], pa.int32()) for k in range(3)), pa.array(counts[tuple(at.T)])], names=["l", "b", "s", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(at[:, k], pa.int32()) for k in range(2)), pa.array(counts[tuple(at.T)])], names=["b", "s", "n"])
 
-    rows = graded.select("grade", "language", "words", "sizes").mapInArrow(run, "l int, b int, s int, n long")
-    counts = np.zeros((len(LANGUAGES), len(BANDS), STEPS))
-    for r in rows.groupBy("l", "b", "s").agg(F.sum("n").alias("n")).collect():  # at most languages x bands x steps
-        counts[r.l, r.b, r.s] = r.n
-    every = counts.sum(0, keepdims=True)
-    counts = counts + every * 20 / np.maximum(every.sum(2, keepdims=True), 1)  # a language with few grades leans on the others
-    side = np.pad(counts, ((0, 0), (0, 0), (1, 1)))
-    smooth = counts + 0.5 * (side[..., :-2] + side[..., 2:]) + 0.05
-    return np.log(smooth / smooth.sum(2, keepdims=True))
+    rows = graded.select("grade", "words", "sizes").mapInArrow(run, "b int, s int, n long")
+    counts = np.zeros((len(BANDS), STEPS))
+    for r in rows.groupBy("b", "s").agg(F.sum("n").alias("n")).collect():  # at most bands x steps
+        counts[r.b, r.s] = r.n
+    counts = counts + counts * 20 / np.maximum(counts.sum(1, keepdims=True), 1)
+    side = np.pad(counts, ((0, 0), (1, 1)))
+    smooth = counts + 0.5 * (side[:, :-2] + side[:, 2:]) + 0.05
+    return np.log(smooth / smooth.sum(1, keepdims=True))
+
+
+def _whole(grade: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(grade), BANDS[0], BANDS[-1]).astype(np.int64)
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -290,29 +288,31 @@ def grades(labels: DataFrame) -> DataFrame:
     return good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("band").alias("grade"))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 50, unsure: float = 0.3, settled: float = 0.005) -> DataFrame:
-    """``doc_id, chars, level, band``: continuous level and band 1 to 4 of each document that has a text.
+def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 100, ungraded: float = UNGRADED, settled: float = 0.001) -> DataFrame:
+    """``doc_id, chars, level, band, judged``: continuous level and band 1 to 4 of each document that has a text, and the band
+    by its text alone.
 
-    The harmonic iterations end when no further word becomes known and words move by less than ``settled`` on
-    average; ``rounds`` is a safety bound, and a warning says so if it ends them. Graded documents are clamped while
-    levels spread, and judged by their text like any other in what comes out, as labels err. Ungraded documents pass on their level with the weight ``unsure``. A text without known words (empty,
-    blank, only code) has the level null and the band null. Without any label all bands are null. A repeated
-    document id is judged per row. Whole texts count; lang and n_chars, which may be wrong, are not read.
+    The harmonic iterations end when no further word becomes known and the levels of ungraded documents move by less
+    than ``settled`` on average; ``rounds`` is a safety bound, and a warning says so if it ends them. Graded documents
+    keep their grade as level and, rounded, as band; ``judged`` is what their text says, as labels err. Ungraded
+    documents pass on their level, all together with ``ungraded`` times the weight of all graded ones. A text without
+    known words (empty, blank, only code) has nulls for level and bands, unless it is graded. Without any label all are
+    null. A repeated document id is judged per row. Whole texts count; lang and n_chars, which may be wrong, are not read.
     """
     spark = documents.sparkSession
     grade = materialise(grades(labels), "grades")
     few = grade.count() <= LABELS_BROADCAST
     docs = materialise(prepared(documents).join(F.broadcast(grade) if few else grade, "doc_id", "left"), "sentences")
     graded = materialise(docs.where(F.col("grade").isNotNull()), "graded")
-    words = _Words.of(_spread(graded, None, None, unsure).toArrow())
-    for _ in range(rounds - 1):
-        chance = _chances(graded, words)
-        new = _Words.of(_spread(docs, words, chance, unsure).toArrow())
-        both = (words.weight > 0) & (new.weight > 0)
-        moved = float(np.abs(words.mean - new.mean)[both].mean()) if both.any() else 0.0
-        grown = bool(((words.weight == 0) & (new.weight > 0)).any())
-        words = new
-        if moved < settled and not grown:
+    given = graded.count()
+    trust = ungraded * given / max(docs.count() - given, 1)
+    last, words = None, _Words.of(_spread(graded, None, None, trust)[0])
+    for _ in range(rounds):
+        rows, moved = _spread(docs, words, last, trust)
+        new = _Words.of(rows)
+        done = last is not None and moved < settled and not ((words.weight == 0) & (new.weight > 0)).any()
+        last, words = words, new
+        if done or not given:
             break
     else:
         warnings.warn(f"reading levels have not settled in {rounds} rounds", stacklevel=2)
@@ -321,19 +321,28 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 50, un
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chance = shared.value
         for b in batches:
-            odds, known = _levels(b, words, chance) if b.num_rows else (np.zeros((0, len(BANDS))), np.zeros(0, bool))
-            level, band = odds @ np.array(BANDS, float), odds.argmax(1) + BANDS[0]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chars"), pa.array(level, mask=~known), pa.array(band, pa.int64(), mask=~known)], names=["doc_id", "chars", "level", "band"])
+            if not b.num_rows:
+                continue
+            judged, known = _bands(b, words, chance)
+            level, heard = words.levels(*_lists(b.column("words")))
+            given = b.column("grade").to_numpy(zero_copy_only=False).astype(float)
+            own = ~np.isnan(given)
+            band = np.where(own, _whole(np.where(own, given, BANDS[0])), judged)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("chars"), pa.array(np.where(own, given, level), mask=~(own | heard)), pa.array(band, pa.int64(), mask=~(own | known)), pa.array(judged, pa.int64(), mask=~known)],
+                names=["doc_id", "chars", "level", "band", "judged"],
+            )
 
-    return docs.select("doc_id", "chars", "language", "words", "sizes").mapInArrow(run, "doc_id long, chars int, level double, band long")
+    return docs.select("doc_id", "chars", "words", "sizes", "grade").mapInArrow(run, "doc_id long, chars int, level double, band long, judged long")
 
 
 def bands(documents: DataFrame, labels: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``doc_id, band`` of the documents whose text has at least ``least`` characters.
+    """``doc_id, band`` of the documents whose text has at least ``least`` characters, as a careful reader gives it: by the
+    text, also where a label, which may err, says otherwise.
 
     One that nothing tells of (only code, or no word that labels reach) has the rounded mean of all grades.
     """
     mean = grades(labels).agg(F.avg("grade")).first()[0]
-    fallback = FALLBACK if mean is None else int(np.clip(np.rint(mean), BANDS[0], BANDS[-1]))
+    fallback = FALLBACK if mean is None else int(_whole(np.array([mean]))[0])
     long = reading_levels(documents, labels).where(F.col("chars") >= least)
-    return long.select("doc_id", F.coalesce("band", F.lit(fallback).cast("long")).alias("band")).distinct()
+    return long.select("doc_id", F.coalesce("judged", F.lit(fallback).cast("long")).alias("band")).distinct()

@@ -211,7 +211,10 @@ def test_levels_spread_from_graded_documents(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, grade string, words double")
     got = {r.doc_id: r for r in reading.reading_levels(d, spark.createDataFrame(labels, "doc_id long, band int, reader string")).collect()}
     free = [i for i in truth if i % 3]
-    assert sum(got[i].band == truth[i] for i in free) >= 0.9 * len(free)
+    assert sum(got[i].band == truth[i] for i in free) >= 0.94 * len(free)
+    assert all(got[i].band == truth[i] == got[i].level for i in truth if i % 3 == 0)  # graded documents keep their grade
+    by = {b: np.mean([got[i].level for i in free if truth[i] == b]) for b in (1, 2, 3, 4)}
+    assert by[1] < by[2] < by[3] < by[4]
     assert got[901].band is None and got[902].band is None and 900 not in got
     found = reading.bands(d, spark.createDataFrame(labels, "doc_id long, band int, reader string"))
     assert found.columns == ["doc_id", "band"] and found.where("doc_id >= 900").count() == 0
@@ -231,9 +234,32 @@ def test_levels_reach_the_end_of_a_chain_and_every_long_text(spark):
     assert {r.band for r in reading.bands(docs, labels.limit(0)).collect()} == {reading.FALLBACK}
 
 
+def test_levels_are_harmonic(spark):
+    """In the end every ungraded document is the weighted mean of its words, and every word the mean of its documents."""
+    rng = random.Random(2)
+    vocabulary = [a + b for a in "bcdfgklm" for b in ("ababa", "ededo", "ikuki", "onomu")]
+    docs = [(i, " ".join(rng.choices(vocabulary[(i % 4) * 6 : (i % 4) * 6 + 14], k=12)) + ".") for i in range(60)]
+    labels = [(i, 1 + i % 4, "r") for i in range(0, 60, 3)]
+    got = {r.doc_id: r.level for r in reading.reading_levels(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, band int, reader string"), settled=1e-9).collect()}
+    grade = {i: b for i, b, _ in labels}
+    trust = reading.UNGRADED * len(grade) / (60 - len(grade))
+    held = {i: set(t[:-1].split()) for i, t in docs}
+    level = got | grade
+    for i in set(got) - set(grade):
+        num = den = 0.0
+        for w in held[i]:
+            each = [(1.0 if j in grade else trust, level[j]) for j in held if w in held[j]]
+            d = sum(t for t, _ in each)
+            m = sum(t * x for t, x in each) / d
+            spread = (max(sum(t * x * x for t, x in each) / d - m * m, 0) * d + 1) / (d + 1)
+            weight = d / (d + 1) / (spread + 0.15)
+            num, den = num + weight * m, den + weight
+        assert got[i] == pytest.approx(num / den, abs=1e-3)
+
+
 def test_sentence_words_of_texts():
-    words, sizes, sentences, language = reading.sentence_words(["The cat is here. It is my cat!", "", "きょう、いぬをみます。ねこもいます。", "x"])
-    assert sentences.tolist() == [2, 0, 2, 0] and sizes.sum() == len(words) and [reading.LANGUAGES[i] for i in language] == ["en", "", "ja", ""]
+    words, sizes, sentences = reading.sentence_words(["The cat is here. It is my cat!", "", "きょう、いぬをみます。ねこもいます。", "x"])
+    assert sentences.tolist() == [2, 0, 2, 0] and sizes.sum() == len(words)
     again = reading.sentence_words(["the CAT is here"])[0]
     assert set(again) == set(words[: sizes[0]])
 
