@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomark.llm import lookalike, markup, neighbours, packing, ranking, reading, splitting, tokens
@@ -42,8 +42,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    items = splitting.vault_items(table(spark, d, "corpus"), table(spark, d, "collected_notes"))
-    return splitting.numbered(splitting.pieces(items), ["item_table", "path", "item"]).select("item_table", "path", "item", "ord", "begin", "end", "piece")
+    """The pieces of every item, as digests of themselves."""
+    cut = splitting.pieces(splitting.vault_items(table(spark, d, "corpus"), table(spark, d, "collected_notes")))
+    return cut.select("item_table", "path", "ord", "begin", "end", F.md5("piece").alias("digest")).distinct()
+
+
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item add up to: its characters and blanks without overlaps, and how many pieces are too
+    long, leave a gap, or overlap by less than 100 or more than 200 characters."""
+    cut = splitting.pieces(splitting.vault_items(table(spark, d, "corpus"), table(spark, d, "collected_notes")))
+    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    narrow = cut.select("item_table", "path", "item", "ord", "begin", "end", blanks(F.col("piece")).alias("blanks"), F.substring("piece", 1, splitting.OVERLAP_HIGH).alias("head"), F.length("piece").alias("size")).distinct()
+    before = F.lag("end", 1, 0).over(Window.partitionBy("item_table", "path", "item").orderBy("ord"))
+    shared = narrow.withColumn("shared", before - F.col("begin"))
+    wrong = (F.col("size") > splitting.LIMIT) | (F.col("size") != F.col("end") - F.col("begin"))
+    apart = F.when(F.col("ord") == 1, F.col("shared") != 0).otherwise(~F.col("shared").between(splitting.OVERLAP_LOW, splitting.OVERLAP_HIGH))
+    return shared.groupBy("item_table", "path", "item").agg(
+        F.max("end").alias("chars"), F.sum(F.col("blanks") - blanks(F.substring("head", F.lit(1), F.col("shared").cast("int")))).alias("blanks"),
+        F.sum(wrong.cast("long")).alias("too_long"), F.sum(apart.cast("long")).alias("apart"),
+    ).drop("item")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +89,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
-    "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_found": p7_found, "p7_ranking": p7_ranking,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_cover": p5_cover, "p7_found": p7_found, "p7_ranking": p7_ranking,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_levels": p10_levels,
 }
 
@@ -132,6 +149,14 @@ WHERE place <= 5 AND cosine >= 0.9
 SELECT DISTINCT 'corpus' AS item_table, path FROM corpus WHERE length(content) > 2000
 UNION ALL
 SELECT 'collected_notes', path FROM collected_notes GROUP BY path HAVING length(arg_max(text, collected_at)) > 2000
+""",
+    "p5_cover": """
+WITH items AS (
+  SELECT DISTINCT 'corpus' AS item_table, path, content AS text FROM corpus
+  UNION ALL
+  SELECT 'collected_notes', path, arg_max(text, collected_at) FROM collected_notes GROUP BY path)
+SELECT item_table, path, length(text) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS apart
+FROM items WHERE text IS NOT NULL
 """,
     "p7_found": _HITS + "SELECT query_id, arg_min(path, (-points, path)) AS path FROM points GROUP BY query_id HAVING count(*) FILTER (top = 3) = 1",
     "p7_ranking": _HITS + "SELECT query_id, path, CAST(points AS DOUBLE) AS points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, path) AS position FROM points",
