@@ -260,7 +260,8 @@ def file_pieces(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: t
     """``file, ord, begin, end, piece`` of the UTF-8 text files below ``folder``, cut as by :func:`pieces`.
 
     Only names and sizes are listed; each range is read by its offset, from any file system that pyarrow opens by
-    the URIs Spark lists, by the task that cuts it. Files may be of any size.
+    the URIs Spark lists, by the task that cuts it. Files may be of any size; empty ones, which Spark does not list, have
+    no piece.
     """
     reach = halo(limit, overlap[1])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select(F.col("path").alias("file"), F.col("length").alias("_total"))
