@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomark.llm import lookalike, markup, neighbours, packing, ranking, reading, splitting, tokens
-from fathomark.llm.lookalike import look_table
 from fathomark.session import table
 
 
@@ -94,11 +93,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+# Letters and the letters they look like, as the SQL that checks the operator has them. The operator takes
+# them from the Unicode data instead, so the two do not share a table.
+_LIKE_LATIN = {
+    "A": "ΑА", "B": "ΒВ", "C": "ϹС", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ͿЈ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟОՕ", "P": "ΡР",
+    "S": "ЅՏ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "a": "ɑа", "c": "ϲс", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "ϳј",
+    "n": "ո", "o": "οоօ", "p": "р", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у", "-": "‐‑",
+    "力": "カ", "口": "ロ", "夕": "タ", "卜": "ト", "工": "エ", "二": "ニ", "八": "ハ", "へ": "ヘ", "一": "ー",
+}
+
+
 def _look_sql(column: str) -> str:
-    """The mapped form in SQL: characters replaced one for one, ligatures spelled out, the result composed."""
-    one = {k: v for k, v in look_table().items() if v is not None and len(v) == 1}
-    gone = "".join(chr(k) for k, v in look_table().items() if v is None)
-    long = {chr(k): v for k, v in look_table().items() if v is not None and len(v) > 1}
+    """The mapped form in SQL: characters replaced one for one, others spelled out, the result composed."""
+    letters = {ord(c): to for to, others in _LIKE_LATIN.items() for c in others}
+    table = lookalike.with_letters(lookalike.plain_forms(), letters)
+    one = {k: v for k, v in table.items() if v is not None and len(v) == 1}
+    gone = "".join(chr(k) for k, v in table.items() if v is None)
+    long = {chr(k): v for k, v in table.items() if v is not None and len(v) > 1}
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     sql = f"translate({column}, {quote(''.join(map(chr, one)) + gone)}, {quote(''.join(one.values()))})"
     for k, v in long.items():
