@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.llm.tokens import VOCABULARY, token_counts
+from fathomark.session import materialise
 
 CAPACITY = 2048
 #: Items packed together in one task. Each such group leaves at most one container poorly filled.
@@ -96,20 +97,26 @@ def pack(documents: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY,
     A document is cut only if it has more tokens than a container: into pieces of exactly ``capacity`` and a rest,
     numbered from 0. Null and empty texts have 0 tokens and lie in some container. Repeated rows are items each; rows
     without an id are left out.
-    Items are dealt by a hash over groups of a bounded number, each packed by :func:`best_two_fit` in a task of
-    its own; only ids and sizes are shuffled. Sizes need not be spread evenly: the groups are of the same mixture.
+
+    The sizes, two numbers a document, are written once. Pieces that fill a container are done where they are read (their containers have negative numbers). Of each
+    document at most one item is left; these are dealt in turn over groups of at most ``group_items`` and one more a
+    task, whatever their ids, and each group is packed by :func:`best_two_fit` in a task of its own. Only ids and
+    sizes are shuffled. Sizes need not be spread evenly: the groups are of the same mixture.
     """
-    rows = documents.count()
-    groups = max(1, -(-rows // group_items))
-    items = token_counts(documents.where(F.col("doc_id").isNotNull()), path).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int"))))
-    items = items.select(
-        "doc_id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * F.lit(capacity)).cast("long").alias("tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("batch"),
-    )
+    sized = materialise(token_counts(documents.where(F.col("doc_id").isNotNull()), path).withColumn("_n", F.monotonically_increasing_id()), "sizes")
+    whole = F.floor(F.col("tokens") / capacity).cast("int")
+    rest = F.col("tokens") % capacity
+    left = (rest > 0) | (F.col("tokens") == 0)
+    groups = max(1, -(-sized.where(left).count() // group_items))
+    # The running number in a task, and the task's number times a step, so that tasks do not all begin at one group.
+    batch = F.pmod(F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright(F.col("_n"), 33) * F.lit(7919), F.lit(groups))
+    filled = sized.where(whole > 0).select("doc_id", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"), F.lit(capacity).cast("long").alias("tokens"))
+    filled = filled.select("doc_id", "piece", "tokens", (-1 - F.monotonically_increasing_id()).alias("container"))
+    items = sized.where(left).select("doc_id", whole.alias("piece"), rest.alias("tokens"), batch.alias("batch"))
 
     def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece"], kind="stable")
         place = best_two_fit(frame["tokens"].to_numpy(), capacity) + (int(key[0]) << 32)
         return pd.DataFrame({"doc_id": frame["doc_id"], "piece": frame["piece"], "tokens": frame["tokens"], "container": place})
 
-    return items.groupBy("batch").applyInPandas(fill, "doc_id long, piece int, tokens long, container long")
+    return items.groupBy("batch").applyInPandas(fill, "doc_id long, piece int, tokens long, container long").unionByName(filled)

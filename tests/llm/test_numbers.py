@@ -189,6 +189,22 @@ def test_pack_in_spark(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_groups_are_bounded_whatever_the_items(spark):
+    rows = [(i, "word " * 40_000) for i in range(40)] + [(7, "some words")] * 60  # long documents, and one id held by most rows
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group_items=10).collect()
+    groups: dict[int, int] = {}
+    for r in got:
+        if r.container >= 0:
+            groups[r.container >> 32] = groups.get(r.container >> 32, 0) + 1
+    assert sum(groups.values()) == 100 and len(groups) == 10 and max(groups.values()) <= 10 + 3
+    full = [r for r in got if r.container < 0]
+    assert len({r.container for r in full}) == len(full) and all(r.tokens == 2048 for r in full)
+    fill: dict[int, int] = {}
+    for r in got:
+        fill[r.container] = fill.get(r.container, 0) + r.tokens
+    assert max(fill.values()) <= 2048
+
+
 # --- reading levels ---
 
 EASY, HARD = "the cat sat on my mat and the dog ran to it", "notwithstanding orthogonal stratification the asymptotic regularisation presupposes epistemic heteroscedasticity"
