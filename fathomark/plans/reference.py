@@ -12,7 +12,7 @@ from fathomark.functions.parse import parse_texts
 from fathomark.operators import browse, changes, fusion, graph, health, lexical, vector
 from fathomark.plans import vault
 from fathomark.plans.problems import RUN_SQL
-from fathomark.session import table
+from fathomark.session import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 WITH = "WITH" + vault.SQL
@@ -24,9 +24,23 @@ def _scored(df: DataFrame) -> DataFrame:
     return df.select("path", F.round("score", 6).alias("score"))
 
 
+def _counted(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    """Length and term counts of each note: contents are read and counted where they lie."""
+    rows = vault.corpus_rows(spark, d)
+    return vault.once(rows, lexical.frequencies(rows, terms))
+
+
+def _hits(spark: SparkSession, d: str, query: str, limit: int = 50) -> lexical.Found:
+    terms = tx.split_terms(query)
+    if lexical.by_relevance(terms):
+        return lexical.Found(lexical.best_scores(_counted(spark, d, terms), terms, limit), "relevance", limit)
+    held = vault.once(vault.corpus_rows(spark, d), {"held": lexical.holds_all(terms)}).where("held")
+    return lexical.Found(lexical.by_latest(vault.notes(spark, d), held, limit), "date", limit)
+
+
 def _find(query: str, limit: int = 50) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        hits = lexical.find(vault.corpus(spark, d), vault.notes(spark, d), query, limit).hits
+        hits = _hits(spark, d, query, limit).hits
         return _scored(hits) if "score" in hits.columns else hits
 
     return run
@@ -49,22 +63,24 @@ bm AS (SELECT path, {score} AS score FROM tf, st WHERE {every} ORDER BY score DE
 
 def find_meta(spark: SparkSession, d: str) -> DataFrame:
     """One row: how many hits, in which order, and whether the limit was reached."""
-    found = lexical.find(vault.corpus(spark, d), vault.notes(spark, d), "pipeline", 50)
+    found = _hits(spark, d, "pipeline")
     return found.hits.agg(F.count("*").alias("count")).select("count", F.lit(found.order).alias("order"), (F.col("count") >= found.limit).alias("capped"))
 
 
 def find_postings(spark: SparkSession, d: str) -> DataFrame:
-    corpus = vault.corpus(spark, d)
-    lengths = corpus.select("path", lexical.length_in_grams(corpus).alias("len"))
-    return _scored(lexical.search_postings(lexical.postings(corpus), lengths, ["calibration", "kitchen"], 50))
+    """A search through stored postings, which this query stores first."""
+    place = scratch_path(spark, "postings")
+    lexical.write_postings(vault.corpus(spark, d), place)
+    return _scored(lexical.search_stored(spark, place, ["calibration", "kitchen"], 50))
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.document_frequency(lexical.postings(vault.corpus(spark, d)))
+    return lexical.document_frequency(vault.corpus(spark, d))
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.corpus_stats(vault.corpus(spark, d))
+    rows = vault.corpus_rows(spark, d)
+    return lexical.length_stats(vault.once(rows, {"len": lexical.length_in_grams(rows)}))
 
 
 def _tag(keyword: str, mode: str = "compat") -> Query:
@@ -127,11 +143,11 @@ def resolve_argument(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:
-    return vault.corpus(spark, d).select("path", F.explode(tx.wikilinks(F.col("content"))).alias("target"))
+    return vault.once(vault.corpus_rows(spark, d), {"targets": tx.wikilinks(F.col("content"))}).select("path", F.explode("targets").alias("target"))
 
 
 def word_count(spark: SparkSession, d: str) -> DataFrame:
-    return vault.corpus(spark, d).select("path", tx.word_count(F.col("content")).alias("word_count"))
+    return vault.once(vault.corpus_rows(spark, d), {"word_count": tx.word_count(F.col("content"))})
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -158,7 +174,7 @@ def embeddings_topk(spark: SparkSession, d: str) -> DataFrame:
 def _hybrid(has_vectors: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         depth = 10 * 4
-        words = lexical.search_bm25(vault.corpus(spark, d), ["pipeline"], depth)
+        words = lexical.best_scores(_counted(spark, d, ["pipeline"]), ["pipeline"], depth)
         words = words.withColumn("score", F.round("score", 9))
         lex = fusion.ranked(words, [F.desc("score"), F.asc("path")], depth)
         vec = None

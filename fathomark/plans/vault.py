@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.session import table
@@ -26,11 +26,24 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "links").where(F.col("path").isNotNull() & F.col("target").isNotNull()).select("path", "target").distinct()
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """``path, title, content`` once a path; null contents are empty."""
+def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``path, title, content`` as they come, a path perhaps several times; null texts are empty."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = table(spark, d, "corpus").where(F.col("path").isNotNull()).select("path", text("title"), text("content"))
-    return rows.groupBy("path").agg(F.max("title").alias("title"), F.max("content").alias("content"))
+    return table(spark, d, "corpus").where(F.col("path").isNotNull()).select("path", text("title"), text("content"))
+
+
+def once(rows: DataFrame, what: dict[str, Column]) -> DataFrame:
+    """``path`` and what is asked of its content, once a path: only that is shuffled, not the contents.
+
+    Of several contents of a path the longest counts (of equals, the one of greater hash)."""
+    version = F.struct(F.length("content").alias("length"), F.xxhash64("content").alias("hash"))
+    asked = rows.select("path", F.struct(version.alias("version"), *[c.alias(n) for n, c in what.items()]).alias("m"))
+    return asked.groupBy("path").agg(F.max("m").alias("m")).select("path", *[F.col(f"m.{n}").alias(n) for n in what])
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """``path, title, content`` once a path, where whole contents are what is asked for."""
+    return once(corpus_rows(spark, d), {"title": F.col("title"), "content": F.col("content")})
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +62,8 @@ n AS (SELECT path, m.title AS title, m.date AS date, m.updated AS updated, m.sum
   FROM notes WHERE path IS NOT NULL GROUP BY path) WHERE gone IS NULL),
 t AS (SELECT DISTINCT path, tag FROM tags WHERE path IS NOT NULL AND coalesce(tag, '') <> ''),
 l AS (SELECT DISTINCT path, target FROM links WHERE path IS NOT NULL AND target IS NOT NULL),
-c AS (SELECT path, max(coalesce(title, '')) AS title, max(coalesce(content, '')) AS content FROM corpus WHERE path IS NOT NULL GROUP BY path),
+c AS (SELECT path, m.t AS title, m.c AS content FROM (SELECT path, max({'l': length(coalesce(content, '')), 'c': coalesce(content, ''), 't': coalesce(title, '')}) AS m
+  FROM corpus WHERE path IS NOT NULL GROUP BY path)),
 v AS (SELECT path, arg_max(vector, vec_id) AS embedding FROM note_vectors
       WHERE path IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY path),
