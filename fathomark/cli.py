@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from fathomark import __version__, render
 from fathomark.config import Config, ConfigError, find_root, load_config
-from fathomark.functions.parse import frontmatter_issue
+from fathomark.functions.parse import UNREADABLE, parse_texts
 from fathomark.operators import browse, fusion, graph, health, lexical, vector
-from fathomark.session import local_session
+from fathomark.session import local_session, materialise
 from fathomark.sources import catalog, discover
 
 
@@ -27,42 +27,52 @@ def encoder_for(cfg: Config) -> vector.Encoder:
     """The encoder a repository names; models that are not installed here are an error, never a silent stand-in."""
     if cfg.model.startswith("hashing-trigram-"):
         return vector.HashingEncoder(int(cfg.model.rsplit("-", 1)[1]))
-    raise UserError(f"Error: model {cfg.model} を利用できません。")
+    raise UserError(f"Error: the model {cfg.model} is not available here")
+
+
+Rows = Callable[[], Iterable[tuple[str, str]]]
 
 
 class App:
+    """The commands. Result rows are counted first and then fetched a partition at a time, however many there are."""
+
     def __init__(self, spark: SparkSession, cfg: Config, out: Callable[[str], None] = print):
         self.spark, self.cfg, self.out = spark, cfg, out
 
     def table(self, name: str) -> DataFrame:
         return catalog.load(self.spark, self.cfg, name)
 
-    def _hits(self, ranked: DataFrame, order: Sequence) -> list[dict]:
-        """The details of at most as many rows as the search's limit, in order."""
-        full = browse.enrich(ranked, self.table("notes"), self.table("tags"))
-        return [r.asDict() for r in full.orderBy(*order).collect()]
+    def _hits(self, ranked: DataFrame, order: Sequence, without: Sequence[str] = ()) -> tuple[int, Iterator[dict]]:
+        """How many rows there are, and their details in order."""
+        full = materialise(browse.enrich(ranked, self.table("notes"), self.table("tags")), "hits")
+        rows = full.orderBy(*order).drop(*without)
+        return full.count(), (r.asDict() for r in rows.toLocalIterator())
 
-    def _show(self, hits: list[dict], json: bool, head: str, meta: str) -> int:
+    def _show(self, hits: tuple[int, Iterator[dict]], json: bool, head: str, meta: str) -> int:
+        count, rows = hits
         if json:
-            self.out("\n".join([meta, *map(render.hit_line, hits)]))
+            self.out(meta)
+            for h in rows:
+                self.out(render.hit_line(h))
         else:
             self.out(head + "\n")
-            for t in render.hits_text(hits):
-                self.out(t)
-        return 0 if hits else 1
+            for h in rows:
+                self.out(render.hit_text(h))
+            if not count:
+                self.out(render.NONE_FOUND)
+        return 0 if count else 1
 
     # --- commands ---
 
     def index(self, check: bool = False) -> int:
         built = catalog.build(self.spark, self.cfg)
         for path, kind, detail in built.broken:
-            print(f"Warning: {path}: frontmatter {kind} — {detail}", file=sys.stderr)
+            print(f"Warning: {path}: {kind}: {detail}", file=sys.stderr)
         self.out(f"インデックスを生成しました: {self.cfg.index}\n  ノート数: {built.notes}\n  タグ数: {built.tags}\n  frontmatter 破損: {len(built.broken)}件")
         return 1 if check and built.broken else 0
 
     def embed(self, force: bool = False) -> int:
-        if not self.cfg.semantic_enabled:
-            raise UserError("Error: この root では semantic が無効です ([semantic] enabled = true で有効化)。")
+        self._need_semantic()
         counts = catalog.embed(self.spark, self.cfg, encoder_for(self.cfg), force)
         if not counts:
             self.out("対象ノートが見つかりませんでした。")
@@ -72,62 +82,67 @@ class App:
             self.out(f"埋め込みを保存しました: {self.cfg.embeddings}\n  新規/更新: {counts.get('encode', 0)}件, 再利用: {counts.get('keep', 0)}件, 削除: {counts.get('drop', 0)}件")
         return 0
 
+    def _need_semantic(self) -> None:
+        if not self.cfg.semantic_enabled:
+            raise UserError("Error: no semantic search in this repository; turn it on by enabled = true under [semantic]")
+
     def find(self, query: str, json: bool = False) -> int:
         limit = self.cfg.bm25_limit
-        found = lexical.find(self.table("corpus"), self.table("notes"), query, limit)
+        found = catalog.find(self.spark, self.cfg, query, limit)
         relevance = found.order == "relevance"
         order = [F.desc("score"), F.asc("path")] if relevance else [F.desc("date"), F.asc("path")]
-        hits = [{k: v for k, v in h.items() if k != "score"} for h in self._hits(found.hits, order)]
-        capped = found.capped(len(hits))
+        hits = self._hits(found.hits, order, ["score"])
+        count = hits[0]
+        capped = found.capped(count)
         by = "BM25 relevance 順" if relevance else "date 降順 (短語を含み relevance 算出不可)"
         note = f" ※上限到達: 上位{limit}件で打ち切り (全ヒット数は不明)" if capped else ""
-        return self._show(hits, json, f"全文検索 '{query}' の結果 ({len(hits)}件, {by}){note}:", render.meta_line("find", len(hits), order=found.order, capped=capped))
+        return self._show(hits, json, f"全文検索 '{query}' の結果 ({count}件, {by}){note}:", render.meta_line("find", count, order=found.order, capped=capped))
 
     def tag(self, keyword: str, json: bool = False) -> int:
         hits = self._hits(browse.by_tag(self.table("notes"), self.table("tags"), keyword), [F.desc("date"), F.asc("path")])
-        if not hits and not json:
+        if not hits[0] and not json:
             self.out(f"タグ '{keyword}' に一致するノートが見つかりませんでした。")
             return 1
-        return self._show(hits, json, f"タグ '{keyword}' の検索結果 ({len(hits)}件):", render.meta_line("tag", len(hits)))
+        return self._show(hits, json, f"タグ '{keyword}' の検索結果 ({hits[0]}件):", render.meta_line("tag", hits[0]))
 
     def title(self, keyword: str, json: bool = False) -> int:
         hits = self._hits(browse.by_title(self.table("notes"), keyword), [F.desc("date"), F.asc("path")])
-        return self._show(hits, json, f"タイトル '{keyword}' の検索結果 ({len(hits)}件):", render.meta_line("title", len(hits)))
+        return self._show(hits, json, f"タイトル '{keyword}' の検索結果 ({hits[0]}件):", render.meta_line("title", hits[0]))
 
     def recent(self, count: int = 10, json: bool = False) -> int:
         hits = self._hits(browse.recent(self.table("notes"), count), [F.desc("date"), F.asc("path")])
-        self._show(hits, json, f"最近のノート (上位{count}件):", render.meta_line("recent", len(hits)))
+        self._show(hits, json, f"最近のノート (上位{count}件):", render.meta_line("recent", hits[0]))
         return 0
 
     def list_tags(self, json: bool = False) -> int:
-        rows = browse.tag_counts(self.table("tags")).collect()  # the listing itself
-        if json:
-            self.out("\n".join([render.meta_line("list-tags", len(rows)), *[render.line({"tag": r.tag, "count": r["count"]}) for r in rows]]))
-        else:
-            self.out("\n".join([f"タグ一覧 ({len(rows)}件):", "", *[f"  {r.tag} ({r['count']}件)" for r in rows]]))
+        tags = materialise(browse.tag_counts(self.table("tags")), "tags")
+        many = tags.count()
+        rows = tags.orderBy(F.desc("count"), F.asc("tag")).toLocalIterator()
+        self.out(render.meta_line("list-tags", many) if json else f"タグ一覧 ({many}件):\n")
+        for r in rows:
+            self.out(render.line({"tag": r.tag, "count": r["count"]}) if json else f"  {r.tag} ({r['count']}件)")
         return 0
 
     def _query_vector(self, query: str) -> tuple[DataFrame, list[float]]:
         """Stored vectors and the encoded query; what was stored decides on encoder and prefix."""
-        meta, stored = catalog.embeddings_meta(self.cfg), catalog.stored_embeddings(self.spark, self.cfg)
+        meta, stored = catalog.embeddings_meta(self.spark, self.cfg), catalog.stored_embeddings(self.spark, self.cfg)
         if meta is None or stored is None:
-            raise UserError("Error: 埋め込みが未構築か壊れています。\n  fathomark embed を実行してください。")
+            raise UserError("Error: there are no usable embeddings here\n  make them by: fathomark embed")
         encoder = encoder_for(Config(self.cfg.root, model=meta.get("model", self.cfg.model)))
         q = encoder.encode([meta.get("query_prefix", self.cfg.query_prefix) + query])[0].tolist()
         if stored.where(F.size("embedding") != len(q)).limit(1).count():
-            raise UserError("Error: 埋め込みの次元が一致しません。\n  fathomark embed --force を実行してください。")
+            raise UserError("Error: the stored embeddings have another length than the query's\n  make them anew by: fathomark embed --force")
         return stored, q
 
     def semantic(self, query: str, top: int = 5, json: bool = False) -> int:
-        if not self.cfg.semantic_enabled:
-            raise UserError("Error: この root では semantic が無効です ([semantic] enabled = true で有効化)。")
+        self._need_semantic()
         stored, q = self._query_vector(query)
         hits = self._hits(vector.semantic(stored, self.table("notes"), q, top), [F.desc("score"), F.asc("path")])
-        return self._show(hits, json, f"セマンティック検索 '{query}' の結果 (上位{top}件):", render.meta_line("semantic", len(hits)))
+        return self._show(hits, json, f"セマンティック検索 '{query}' の結果 (上位{top}件):", render.meta_line("semantic", hits[0]))
 
     def hybrid(self, query: str, top: int = 5, json: bool = False) -> int:
         cfg, depth = self.cfg, top * self.cfg.candidate_factor
-        found = lexical.find(self.table("corpus"), self.table("notes"), query, depth)
+        found = catalog.find(self.spark, cfg, query, depth)
         order = [F.desc("score"), F.asc("path")] if found.order == "relevance" else [F.desc("date"), F.asc("path")]
         lex, vec = fusion.ranked(found.hits, order, depth), None
         if cfg.semantic_enabled:
@@ -135,71 +150,82 @@ class App:
                 stored, q = self._query_vector(query)
                 vec = fusion.ranked(vector.nearest(stored, q, depth), [F.desc("score"), F.asc("path")], depth)
             except UserError as e:
-                print(f"Warning: semantic 検索に失敗 ({str(e).splitlines()[0]})、BM25 のみで継続します。", file=sys.stderr)
+                print(f"Warning: without semantic search ({str(e).splitlines()[0]}), by BM25 alone", file=sys.stderr)
         fused = fusion.reciprocal_rank_fusion(lex, vec, top, cfg.rrf_k, cfg.bm25_weight, cfg.vector_weight)
         hits = self._hits(fused, [F.desc("score"), F.asc_nulls_last("bm25_rank"), F.asc_nulls_last("vec_rank")])
         mode = "BM25 + semantic" if vec is not None else "BM25 のみ (semantic 未構築)"
-        return self._show(hits, json, f"ハイブリッド検索 '{query}' の結果 (上位{top}件, {mode}):", render.meta_line("hybrid", len(hits), degraded=vec is None))
+        return self._show(hits, json, f"ハイブリッド検索 '{query}' の結果 (上位{top}件, {mode}):", render.meta_line("hybrid", hits[0], degraded=vec is None))
 
     def _resolve(self, name: str) -> str:
-        found = graph.resolve_note(self.table("notes"), name)
-        if not found:
-            raise UserError(f"Error: ノート '{name}' が見つかりません (root 相対 path か stem で指定)。")
-        if len(found) > 1:
-            raise UserError("\n".join([f"Error: ノート '{name}' が複数に一致します。path で一意に指定してください:", *[f"  {p}" for p in found]]))
-        return found[0]
+        found = graph.resolve_note(self.table("notes"), name).orderBy("path")
+        some = [r.path for r in found.take(2)]
+        if not some:
+            raise UserError(f"Error: no note is called '{name}'; name it by its path below the root or by the end of that")
+        if len(some) > 1:
+            print(f"Error: '{name}' can be any of these notes; name one by its path:", file=sys.stderr)
+            for r in found.toLocalIterator():
+                print(f"  {r.path}", file=sys.stderr)
+            raise UserError("")
+        return some[0]
 
     def links(self, name: str) -> int:
         path = self._resolve(name)
         own = self.table("links").where(F.col("path") == path)
         every = graph.targets(own).count()
-        missing = [r.target for r in graph.unresolved(own, self.table("notes")).orderBy("target").collect()]  # of one note
-        self.out(f"'{path}' の発リンク (target {every}件, 解決 {every - len(missing)}件 / 未解決 {len(missing)}件):\n")
+        missing = graph.unresolved(own, self.table("notes"))
+        lost = missing.count()
+        self.out(f"'{path}' の発リンク (target {every}件, 解決 {every - lost}件 / 未解決 {lost}件):\n")
         if not every:
             self.out("wikilink がありません。")
             return 1
         resolved = graph.links_of(own, self.table("notes"), path).select(F.col("resolved").alias("path"), "target")
-        for hit in self._hits(resolved, ["target", "path"]):
+        for hit in self._hits(resolved, ["target", "path"])[1]:
             self.out(render.hit_text(hit))
-        for target in missing:
-            self.out(f"  (未解決) [[{target}]]")
+        for r in missing.orderBy("target").toLocalIterator():
+            self.out(f"  (未解決) [[{r.target}]]")
         return 0
 
     def backlinks(self, name: str) -> int:
         path = self._resolve(name)
         hits = self._hits(graph.backlinks(self.table("links"), self.table("notes"), path), [F.desc("date"), F.asc("path")])
-        return self._show(hits, False, f"'{path}' の被リンク ({len(hits)}件):", "")
+        return self._show(hits, False, f"'{path}' の被リンク ({hits[0]}件):", "")
+
+    def _broken(self) -> tuple[int, Rows]:
+        """Files whose frontmatter is broken, checked where they are read."""
+        cfg = self.cfg
+        files = [f for f in discover.note_files(cfg) if not f.rel.startswith(cfg.scan_skip_prefixes or ("\0",))]
+        read = parse_texts(discover.read_files(self.spark, files))
+        unreadable = F.col("hash").isNull()  # the file could not be read at all
+        kind = F.when(unreadable, F.lit(UNREADABLE)).otherwise(F.col("issue"))
+        broken = materialise(read.select("ord", "path", kind.alias("kind"), F.when(unreadable, F.col("error")).otherwise(F.col("detail")).alias("detail")).where(F.col("kind").isNotNull()), "broken")
+        return broken.count(), lambda: ((r.path, f"  -- {r.kind}: {r.detail}") for r in broken.orderBy("ord").toLocalIterator())
 
     def health(self, report: str | None = None) -> int:
         cfg = self.cfg
-        sections: list[tuple[str, list[tuple[str, str]]]] = []
+        sections: list[tuple[str, int, Rows]] = []
         if "frontmatter" not in cfg.disable:
-            broken = []
-            for f in discover.note_files(cfg):
-                if f.rel.startswith(cfg.scan_skip_prefixes or ("\0",)):
-                    continue
-                try:
-                    issue = frontmatter_issue(discover.decode(f.path.read_bytes()))
-                except OSError as e:
-                    issue = ("読込不可", str(e))
-                if issue:
-                    broken.append((f.rel, f"  -- {issue[0]}: {issue[1]}"))
-            sections.append((f"frontmatter 破損 ({len(broken)}件)", broken))
+            many, rows = self._broken()
+            sections.append((f"frontmatter 破損 ({many}件)", many, rows))
         modes = [(p, f"  -- index mode {m} (実行bit欠落)") for p, m in discover.executable_bits(cfg)]
-        sections.append((f"実行bit欠落 ({len(modes)}件)", modes))
+        sections.append((f"実行bit欠落 ({len(modes)}件)", len(modes), lambda: modes))
         notes = self.table("notes")
-        found = health.findings(notes, self.table("tags"), cfg.min_words, cfg.quality_skip_prefixes, tuple(cfg.disable))
-        rows = health.ordered(found).collect()  # the report itself
+        found = materialise(health.findings(notes, self.table("tags"), cfg.min_words, cfg.quality_skip_prefixes, tuple(cfg.disable)), "findings")
+        counts = {r.check: r["count"] for r in found.groupBy("check").count().collect()}  # a row a check
         names = {"tags": "タグなし", "summary": "要約なし", "low_words": f"低ボリューム: < {cfg.min_words} words", "updated": "updated未設定"}
         for check, name in names.items():
-            own = [(r.path, f"  -- {r.title}" + (f" ({r.word_count} words)" if check == "low_words" else "")) for r in rows if r.check == check]
-            sections.append((f"{name} ({len(own)}件)", own))
+            own = health.ordered(found.where(F.col("check") == check))
+            words = check == "low_words"
+            rows = lambda own=own, words=words: ((r.path, f"  -- {r.title}" + (f" ({r.word_count} words)" if words else "")) for r in own.toLocalIterator())
+            sections.append((f"{name} ({counts.get(check, 0)}件)", counts.get(check, 0), rows))
         sections = [s for s in sections if s[1]]
-        issues = sum(len(items) for _, items in sections)
+        issues = sum(many for _, many, _ in sections)
         total = notes.where(health.outside(cfg.quality_skip_prefixes)).count()
-        for heading, items in sections:
-            self.out("\n".join([f"[{heading}]", *[f"  {p}{d}" for p, d in items], ""]))
-        newer = catalog.newer_files(cfg, cfg.scan_skip_prefixes)
+        for heading, _, items in sections:
+            self.out(f"[{heading}]")
+            for p, d in items():
+                self.out(f"  {p}{d}")
+            self.out("")
+        newer = catalog.newer_files(self.spark, cfg, cfg.scan_skip_prefixes)
         if newer is None:
             self.out("[index鮮度] 生成時刻が index に無い (旧形式)。fathomark index で再構築を推奨\n")
         elif newer:
@@ -207,10 +233,11 @@ class App:
         self.out(f"--- 合計: {total}ノート中 {issues}件の問題（重複あり）" if issues else render.NO_ISSUES)
         if report:
             try:
-                Path(report).write_text(render.health_report(sections, total, issues, Path(report), cfg.root), encoding="utf-8", newline="\n")
+                with open(report, "w", encoding="utf-8", newline="\n") as f:
+                    f.writelines(x + "\n" for x in render.health_report([(h, rows()) for h, _, rows in sections], total, issues, Path(report), cfg.root))
             except OSError as e:
-                raise UserError(f"Error: レポートを書き出せません: {e}") from None
-            print(f"レポート書き出し: {report}", file=sys.stderr)
+                raise UserError(f"Error: the report cannot be written: {e}") from None
+            print(f"report written: {report}", file=sys.stderr)
         return 0
 
 
@@ -268,7 +295,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
         print(f"Error: {e}", file=sys.stderr)
         return 2
     except UserError as e:
-        print(e, file=sys.stderr)
+        if str(e):
+            print(e, file=sys.stderr)
         return 2
     except BrokenPipeError:
         # The reader left early: not an error of ours.

@@ -60,6 +60,10 @@ class Config:
     def embeddings(self) -> Path:
         return self.root / self.embeddings_dir
 
+    def url(self, path: str) -> str:
+        """Where an output lies: as it is named, if by a URI, else below the root."""
+        return path if "://" in path else f"file://{self.root / path}"
+
     @property
     def excluded_prefixes(self) -> tuple[str, ...]:
         """Root-relative places of the outputs; what lies below them is no note. Outputs elsewhere exclude nothing."""

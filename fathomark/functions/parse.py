@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
 import yaml
@@ -90,13 +91,55 @@ def truthy(value: object) -> bool:
     return bool(value)
 
 
+def number_text(value: float) -> str:
+    """A number as YAML has it: the shortest digits that say it, with a point or an exponent; up to 16 digits before the
+    point and up to four zeros behind it are written out."""
+    if isinstance(value, int):
+        return str(value)
+    if value != value:
+        return ".nan"
+    if value in (float("inf"), float("-inf")):
+        return ".inf" if value > 0 else "-.inf"
+    sign, digits, exponent = Decimal(repr(value)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0") or "0"
+    exponent += len(digits) - len(text)
+    point = len(text) + exponent  # digits before the point
+    if text == "0":
+        out = "0.0"
+    elif exponent >= 0 and point <= 16:
+        out = text + "0" * exponent + ".0"
+    elif 0 < point <= 16:
+        out = text[:point] + "." + text[point:]
+    elif -5 < point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text[0] + ("." + text[1:] if len(text) > 1 else "") + f"e{point - 1}"
+    return "-" + out if sign else out
+
+
+class _Dumper(yaml.SafeDumper):
+    """Writes what :class:`NoteLoader` reads, in block style."""
+
+    def ignore_aliases(self, data: object) -> bool:
+        return True
+
+
+_Dumper.yaml_implicit_resolvers = NoteLoader.yaml_implicit_resolvers
+_Dumper.add_representer(float, lambda d, x: d.represent_scalar("tag:yaml.org,2002:float", number_text(x)))
+_Dumper.add_representer(str, lambda d, x: d.represent_scalar("tag:yaml.org,2002:str", x, style="|" if "\n" in x else None))
+
+
 def scalar_text(value: object) -> str:
-    """A scalar as text: booleans capitalised, numbers as written shortest, collections as nothing."""
+    """A YAML value as text: booleans capitalised, numbers by :func:`number_text`, null and collections as YAML writes them."""
     if isinstance(value, bool):
         return "True" if value else "False"
-    if isinstance(value, (int, float, str)):
-        return str(value)
-    return ""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, (int, float)):
+        return number_text(value)
+    if value is None:
+        return "null"
+    return yaml.dump(value, Dumper=_Dumper, default_flow_style=False, allow_unicode=True, sort_keys=False, width=float("inf")).rstrip()
 
 
 def split_frontmatter(text: str) -> tuple[object, str]:

@@ -61,10 +61,12 @@ def backlink_counts(links: DataFrame, notes: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("resolved").alias("path")).agg(F.count("*").alias("backlinks"))
 
 
-def resolve_note(notes: DataFrame, name: str) -> list[str]:
-    """The paths a note argument can mean: itself if such a note exists, else those that end in it."""
+def resolve_note(notes: DataFrame, name: str) -> DataFrame:
+    """``path`` of the notes that a note argument can mean: that very path if there is such a note, else those that end in it."""
+    known = notes.where(F.col("path").isNotNull()).select("path").distinct()
+    exact = known.where(F.col("path") == name)
+    if not exact.isEmpty():
+        return exact
     stem = name[:-3] if name.endswith(".md") else name
     stemmed = stem_path(F.col("path"))
-    hit = notes.where((F.col("path") == name) | (stemmed == stem) | stemmed.endswith("/" + stem)).select("path").distinct()
-    found = sorted(r.path for r in hit.collect())  # the candidates for one argument
-    return [name] if name in found else found
+    return known.where((stemmed == stem) | stemmed.endswith("/" + stem))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,8 +120,8 @@ def links_ambiguous(spark: SparkSession, d: str) -> DataFrame:
 
 def _hub(spark: SparkSession, d: str) -> str:
     """The path that the hub's name resolves to (the least, should there be several)."""
-    found = graph.resolve_note(vault.notes(spark, d), HUB)
-    return found[0] if found else HUB
+    found = graph.resolve_note(vault.notes(spark, d), HUB).orderBy("path").first()
+    return found.path if found else HUB
 
 
 def hub_backlinks(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +140,7 @@ def links_of_busiest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_argument(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in graph.resolve_note(vault.notes(spark, d), HUB)], "path string")
+    return graph.resolve_note(vault.notes(spark, d), HUB)
 
 
 def wikilinks(spark: SparkSession, d: str) -> DataFrame:
@@ -220,8 +221,13 @@ def health_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_digest(spark: SparkSession, d: str) -> DataFrame:
-    """The digest of the sorted path list: inherently one value over all paths, a line each."""
-    return vault.notes(spark, d).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"), F.count("*").alias("notes"))
+    """The digest of the sorted path list: one value over all paths in order, a line each, so the paths, sorted by Spark,
+    pass through the driver, a partition at a time."""
+    digest, many = hashlib.sha256(), 0
+    for r in vault.notes(spark, d).select("path").orderBy("path").toLocalIterator():
+        digest.update((("\n" if many else "") + r.path).encode())
+        many += 1
+    return spark.createDataFrame([(digest.hexdigest(), many)], "digest string, notes long")
 
 
 def stale_files(spark: SparkSession, d: str) -> DataFrame:

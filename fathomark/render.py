@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 NONE_FOUND = "該当するノートが見つかりませんでした。"
@@ -39,10 +39,6 @@ def hit_text(hit: dict) -> str:
     return "\n".join(rows) + "\n"
 
 
-def hits_text(hits: Sequence[dict]) -> Iterable[str]:
-    return map(hit_text, hits) if hits else [NONE_FOUND]
-
-
 def relative_link(path: str, report_dir: Path, root: Path) -> str:
     """A Markdown link from the report's directory to a note, its label and target escaped."""
     to = os.path.relpath(os.path.join(os.path.abspath(root), path), os.path.abspath(report_dir)).replace("\\", "/")
@@ -53,9 +49,9 @@ def relative_link(path: str, report_dir: Path, root: Path) -> str:
     return f"[{label}]({to})"
 
 
-def health_report(sections: Sequence[tuple[str, Sequence[tuple[str, str]]]], notes: int, issues: int, report: Path, root: Path) -> str:
-    """The Markdown report: nothing in it depends on when or where it is made, lines end with LF."""
-    rows = [
+def health_report(sections: Sequence[tuple[str, Iterable[tuple[str, str]]]], notes: int, issues: int, report: Path, root: Path) -> Iterator[str]:
+    """The lines of the Markdown report: nothing in it depends on when or where it is made."""
+    yield from [
         "---", "title: KB health レポート (自動生成)", "tags: [meta, health, auto-generated]", "summary: >-",
         "  fathomark health --md-report が生成する KB 健全性の最新スナップショット。",
         "  内容が変わった時だけ commit する運用を想定 (生成時刻は git log を参照)。",
@@ -63,8 +59,10 @@ def health_report(sections: Sequence[tuple[str, Sequence[tuple[str, str]]]], not
         "> 実行時刻・index 鮮度など揮発情報は含めない (このファイルの差分 = 実質的な状態変化)。", "",
     ]
     for heading, items in sections:
-        rows += [f"## {heading}", "", *[f"- {relative_link(p, report.absolute().parent, root)}{d}" for p, d in items], ""]
+        yield from (f"## {heading}", "")
+        for p, d in items:
+            yield f"- {relative_link(p, report.absolute().parent, root)}{d}"
+        yield ""
     if not sections:
-        rows += [NO_ISSUES, ""]
-    rows.append(f"合計: {notes}ノート中 {issues}件の問題 (重複あり)")
-    return "\n".join(rows) + "\n"
+        yield from (NO_ISSUES, "")
+    yield f"合計: {notes}ノート中 {issues}件の問題 (重複あり)"

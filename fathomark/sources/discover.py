@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathomark.config import Config, config_file, load_config
 from fathomark.functions.parse import decode, lossy_text
+from fathomark.sources.store import require_shared
 
 
 @dataclass(frozen=True)
@@ -75,24 +76,28 @@ def modified_at(path: Path) -> float:
 
 
 def read_files(spark: SparkSession, files: list[NoteFile]) -> DataFrame:
-    """``path, text, hash, at``: lossy text and SHA-256 of each file, read by the executors.
+    """``path, text, hash, ord, error``: lossy text and SHA-256 of each file, read by the executors.
 
-    The listing travels, the contents are read where they are parsed; a file that cannot be read has a null text.
+    The listing travels, the contents are read where they are parsed; a file that cannot be read has a null text and hash.
     """
+    for f in files[:1]:
+        require_shared(spark, f"file://{f.path}")
     listing = spark.createDataFrame([(f.rel, str(f.path), i) for i, f in enumerate(files)], "path string, file string, ord long")
 
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, file, order in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
                     raw = Path(file).read_bytes()
-                    row = [path], [decode(raw)], [hashlib.sha256(raw).hexdigest()], [order]
-                except OSError:
-                    row = [path], [None], [None], [order]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.string()), pa.array(row[2], pa.string()), pa.array(row[3], pa.int64())], names=["path", "text", "hash", "ord"])
+                    row = (path, decode(raw), hashlib.sha256(raw).hexdigest(), order, None)
+                except OSError as e:
+                    row = (path, None, None, order, str(e))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["path", "text", "hash", "ord", "error"])
 
     parts = max(1, min(len(files) // 64, 4 * spark.sparkContext.defaultParallelism))
-    return listing.repartition(parts).mapInArrow(run, "path string, text string, hash string, ord long")
+    return listing.repartition(parts).mapInArrow(run, "path string, text string, hash string, ord long, error string")
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:

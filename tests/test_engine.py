@@ -92,7 +92,7 @@ def test_links_and_backlinks(ask, capsys):
     assert ask("links", "notes/short.md")[0] == 1 and ask("backlinks", "zebra")[0] == 1
     code, out = ask("backlinks", "control")
     assert code == 0 and "notes/slam.md" in out
-    assert ask("links", "absent")[0] == 2 and "見つかりません" in capsys.readouterr().err
+    assert ask("links", "absent")[0] == 2 and "no note is called 'absent'" in capsys.readouterr().err
 
 
 def test_health_report_is_complete_and_deterministic(ask, root, tmp_path):
@@ -134,8 +134,9 @@ def test_embedding_lifecycle(spark, tmp_path):
     (tmp_path / "fathomark.toml").write_text("[semantic]\nenabled = true\nmodel = 'hashing-trigram-16'\n")
     out: list[str] = []
     assert cli.main(["--root", str(tmp_path), "embed"], spark, out.append) == 0
+    out.clear()
     assert cli.main(["--root", str(tmp_path), "hybrid", "other words", "--json"], spark, out.append) == 0
-    assert json.loads(out[-1].splitlines()[0])["degraded"] is False and '"via":"bm25+vec"' in out[-1]
+    assert json.loads(out[0])["degraded"] is False and any('"via":"bm25+vec"' in line for line in out)
     assert cli.main(["--root", str(tmp_path), "semantic", "other words", "--json"], spark, out.append) == 0
     for n in "ab":
         (tmp_path / f"{n}.md").unlink()
@@ -145,14 +146,14 @@ def test_embedding_lifecycle(spark, tmp_path):
 def test_staleness(spark, tmp_path):
     cfg = Config(tmp_path, auto_rebuild=True)
     (tmp_path / "a.md").write_text("# A\n")
-    assert catalog.stale(cfg)
+    assert catalog.stale(spark, cfg)
     catalog.ensure(spark, cfg)
-    assert not catalog.stale(cfg) and catalog.newer_files(cfg) == 0
+    assert not catalog.stale(spark, cfg) and catalog.newer_files(spark, cfg) == 0
     os.utime(tmp_path / "a.md", (4e9, 4e9))
-    assert catalog.stale(cfg) and catalog.newer_files(cfg) == 1
+    assert catalog.stale(spark, cfg) and catalog.newer_files(spark, cfg) == 1
     os.utime(tmp_path / "a.md", (1, 1))
     (tmp_path / "a.md").rename(tmp_path / "b.md")
-    assert catalog.stale(cfg)
+    assert catalog.stale(spark, cfg)
     catalog.ensure(spark, cfg)
     assert [r.path for r in catalog.load(spark, cfg, "notes").collect()] == ["b.md"]
 
@@ -174,6 +175,11 @@ def test_parsing_rules():
     note = parse.parse_note("\n---\ntitle: 0\ndate: 2024-01-02\ntags: abc\nupdated: yes\n----\n# Head \n", "stem")
     assert (note.title, note.date, note.updated, note.tags, note.issue) == ("Head", "2024-01-02", "yes", ["a", "b", "c"], None)
     assert parse.parse_note("---\ntitle: true\ntags: [1, x, null]\n---\nbody", "s").title == "True"
+    held = parse.parse_note("---\ntitle: [a, b, [c, 1e20]]\ntags: [null, [x, y], 1e20, {a: true}, ~, 2024-01-02, 1.50]\ndate: {}\nsummary: {m: 'l1\n\n  l2', e: []}\n---\nb", "s")
+    assert held.title == "- a\n- b\n- - c\n  - 1e20" and held.tags == ["null", "- x\n- y", "1e20", "a: true", "null", "2024-01-02", "1.5"]
+    assert held.date == "" and held.summary == "m: |-\n  l1\n  l2\ne: []"
+    numbers = {1e20: "1e20", 1.0: "1.0", 1e15: "1000000000000000.0", 1e16: "1e16", 0.00001: "0.00001", 1.5e-7: "1.5e-7", -2.5: "-2.5", float("inf"): ".inf", 3: "3"}
+    assert {x: parse.number_text(x) for x in numbers} == numbers
     assert parse.parse_note("---\na: 1\na: 2\n---\nb", "s").issue[0] == parse.BAD_YAML
     assert parse.parse_note("---\n- list\n---\nb", "s").content == "b"
     assert parse.frontmatter_issue("---") == (parse.UNCLOSED, "先頭 '---' のみで本文が無い")
@@ -194,7 +200,7 @@ def test_columns(spark):
     assert row.wild and not row.lit and row.part == "a/b" and row.anchor is None and row.trim == "x"
 
 
-def test_bm25_agrees_with_fts5(spark):
+def test_bm25_agrees_with_fts5(spark, tmp_path):
     rng = random.Random(3)
     words = ["alpha", "beta", "aaaa", "Été", "ロボット", "gamma ray", "x"]
     rows = [(f"p{i}", " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=rng.randint(0, 30))) if i % 9 else None) for i in range(120)]
@@ -206,26 +212,17 @@ def test_bm25_agrees_with_fts5(spark):
     con.executemany("INSERT INTO f VALUES (?, ?, ?)", [(p, t, c or "") for p, t, c in rows])
     corpus = spark.createDataFrame(rows, "path string, title string, content string").cache()
     index = lexical.postings(corpus)
+    lexical.write_postings(corpus, f"file://{tmp_path}/grams", 4)
     lengths = corpus.select("path", lexical.length_in_grams(corpus).alias("len"))
     for terms in (["aaa"], ["alpha", "beta"], ["été"], ["ロボッ"], ["nothing"]):
         match = " AND ".join(f'"{t}"' for t in terms)
         want = dict(con.execute("SELECT path, -rank FROM f WHERE f MATCH ?", (match,)).fetchall())
-        for got in (lexical.search_bm25(corpus, terms, -1), lexical.search_postings(index, lengths, terms, -1)):
+        stored = lexical.search_stored(spark, f"file://{tmp_path}/grams", terms, -1)
+        for got in (lexical.search_bm25(corpus, terms, -1), lexical.search_postings(index, lengths, terms, -1), stored):
             found = {r.path: r.score for r in got.collect()}
             assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d.md"]), min_size=1, max_size=4), max_size=6), st.sampled_from(["a", "b/a", "c.md", "/a", "a/b#x", "", "#", "d.md"]))
-def test_suffix_rule_is_the_naive_rule(parts, target):
-    notes = {"/".join(p) + ".md" for p in parts}
-    part = target.split("#")[0].removesuffix(".md")
-    naive = {n for n in notes if part and (n.removesuffix(".md") == part or n.removesuffix(".md").endswith("/" + part))}
-    split = {n: n.removesuffix(".md").split("/") for n in notes}
-    by_suffix = {n for n, c in split.items() if part and any("/".join(c[i:]) == part for i in range(len(c)))}
-    assert naive == by_suffix
-
-
 def test_edges_on_random_paths(spark):
     rng = random.Random(1)
     notes = ["/".join(rng.choices("abc", k=rng.randint(1, 4))) + ".md" for _ in range(60)]
@@ -297,3 +294,215 @@ def test_entry_without_the_training_text_queries():
 
     names = entry.queries()
     assert entry.oracle_sql().keys() <= names.keys() and "find_bm25_single" in names and "p1_found" in names
+
+
+def test_stored_search_reads_only_its_trigrams(spark, tmp_path):
+    corpus = spark.createDataFrame([(f"p{i}", "t", "alpha beta gamma " * 20 + str(i)) for i in range(50)], "path string, title string, content string")
+    lexical.write_postings(corpus, f"file://{tmp_path}", 8)
+    rows = lexical.stored_postings(spark, f"file://{tmp_path}", ["beta"])
+    assert {r.gram for r in rows.select("gram").distinct().collect()} == {"bet", "eta"}
+    plan = rows._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(gram" in plan
+    assert lexical.search_stored(spark, f"file://{tmp_path}", ["beta", "gam"], 3).count() == 3
+    lexical.write_postings(corpus.limit(0), f"file://{tmp_path}/none", 8)
+    assert lexical.search_stored(spark, f"file://{tmp_path}/none", ["beta"], 3).count() == 0
+
+
+def test_no_text_is_shuffled_by_a_search(spark, tmp_path):
+    from fathomark.plans import vault
+
+    spark.createDataFrame([("a", "t", "some words"), ("a", "t", "some words"), ("b", None, None)], "path string, title string, content string").write.parquet(f"{tmp_path}/corpus.parquet")
+    rows = vault.corpus_rows(spark, str(tmp_path))
+    counted = vault.once(rows, lexical.frequencies(rows, ["words"]))
+    assert sorted((r.path, r.len, r.f0) for r in counted.collect()) == [("a", 8, 1), ("b", 0, 0)]
+    exchanged = [line for line in counted._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanged and not any("content" in line for line in exchanged)
+
+
+def test_safetensors_round_trip(spark, tmp_path):
+    from fathomark.sources import safetensors
+
+    url = f"file://{tmp_path}/m.safetensors"
+    rows = spark.createDataFrame([(f"p{i}", [float(i), i / 3, -1.5]) for i in range(500)], "path string, embedding array<float>")
+    kept = safetensors.write_matrix(rows.orderBy("path"), url, "vectors", ["path"])
+    raw = (tmp_path / "m.safetensors").read_bytes()
+    size = int.from_bytes(raw[:8], "little")
+    assert json.loads(raw[8 : 8 + size])["vectors"] == {"dtype": "F32", "shape": [500, 3], "data_offsets": [0, 6000]} and len(raw) == 8 + size + 6000
+    back = {r.row: r.embedding for r in safetensors.read_matrix(spark, url, "vectors").collect()}
+    want = {r.path: r.embedding for r in rows.collect()}
+    assert len(back) == 500 and all(back[i] == want[k["path"]] for i, k in enumerate(kept))
+    for kind, numbers in (("F64", "<f8"), ("F16", "<f2")):
+        import numpy as np
+
+        head = json.dumps({"v": {"dtype": kind, "shape": [2, 2], "data_offsets": [0, 4 * np.dtype(numbers).itemsize]}}).encode()
+        (tmp_path / kind).write_bytes(len(head).to_bytes(8, "little") + head + np.array([[1, 2], [3, 0.5]], numbers).tobytes())
+        assert [r.embedding for r in safetensors.read_matrix(spark, f"file://{tmp_path}/{kind}", "v").orderBy("row").collect()] == [[1, 2], [3, 0.5]]
+    for bad in (b"", b"\xff" * 20, raw[:-1], (2).to_bytes(8, "little") + b"{}"):
+        (tmp_path / "bad").write_bytes(bad)
+        with pytest.raises(safetensors.FormatError):
+            safetensors.read_matrix(spark, f"file://{tmp_path}/bad", "vectors")
+
+
+def test_stored_matrices_of_other_tools_are_used(spark, tmp_path):
+    cfg, encoder = Config(tmp_path, semantic_enabled=True), vector.HashingEncoder(16)
+    for n in "abc":
+        (tmp_path / f"{n}.md").write_text(f"# Note {n}\n\ntext about {n * 5}\n")
+    catalog.embed(spark, cfg, encoder)
+    want = sorted((r.path, r.hash, tuple(r.embedding)) for r in catalog.stored_embeddings(spark, cfg).collect())
+    catalog.export_matrix(spark, cfg)
+    import shutil
+
+    shutil.rmtree(cfg.embeddings / "vectors")
+    assert sorted((r.path, r.hash, tuple(r.embedding)) for r in catalog.stored_embeddings(spark, cfg).collect()) == want
+    (tmp_path / "b.md").write_text("# Note b\n\nother words\n")
+    assert catalog.embed(spark, cfg, encoder) == {"keep": 2, "encode": 1}
+
+
+# --- behaviours of the command line over vaults of their own ---
+
+
+def vault_of(tmp_path, files):
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    return tmp_path
+
+
+def run(spark, root, *argv):
+    out: list[str] = []
+    return cli.main(["--root", str(root), *argv], spark, out.append), "\n".join(out)
+
+
+def rels(root):
+    return [f.rel for f in discover.note_files(load_config(root))]
+
+
+def test_the_visible_settings_file_wins(tmp_path, capsys):
+    root = vault_of(tmp_path, {"fathomark.toml": "[scan]\nexclude_dirs = ['drafts']\n", ".fathomark.toml": "[scan]\nexclude_dirs = ['notes']\n", "notes/a.md": "a", "drafts/b.md": "b"})
+    assert rels(root) == ["notes/a.md"] and "takes precedence" in capsys.readouterr().err
+
+
+def test_nested_repositories(tmp_path):
+    root = vault_of(tmp_path, {
+        "fathomark.toml": "[scan]\nexclude_dirs = ['drafts', 'shut']\n", "a.md": "", "drafts/x.md": "",
+        "shut/fathomark.toml": "[scan]\n", "shut/never.md": "",  # the parent's exclusion comes before the nested rules
+        "sub/fathomark.toml": "[scan]\ninclude = ['.', '../outside', 'vecs/../kept']\n[index]\nembeddings_dir = 'vecs'\n", "sub/drafts/seen.md": "", "sub/vecs/leak.md": "", "sub/kept/k.md": "", "outside/o.md": "",
+    })
+    assert sorted(rels(root)) == ["a.md", "outside/o.md", "sub/drafts/seen.md", "sub/kept/k.md"]
+
+
+def test_exclusions_hold_at_any_depth_and_for_included_folders(tmp_path):
+    root = vault_of(tmp_path, {"fathomark.toml": "[scan]\ninclude = ['.', 'templates/sub', '../elsewhere']\n", "n/a.md": "", "templates/sub/t.md": "", "n/deep/node_modules/x/y.md": "", "n/.git/z.md": ""})
+    assert rels(root) == ["n/a.md"]
+    (root / "fathomark.toml").write_text("[scan]\nexclude_dirs = []\n")
+    assert rels(root) == ["n/a.md", "n/deep/node_modules/x/y.md", "templates/sub/t.md"]  # .git stays out
+
+
+def test_broken_nested_settings_end_the_command(spark, tmp_path, capsys):
+    root = vault_of(tmp_path, {"fathomark.toml": "[scan]\n", "a.md": "# A", "bad/fathomark.toml": "[scan]\ninclude = 'notes'\n", "bad/b.md": "# B"})
+    assert run(spark, root, "index")[0] == 2
+    said = capsys.readouterr().err
+    assert "bad" in said and "list" in said
+
+
+def test_rebuilding_does_not_hide_what_health_says(spark, tmp_path, capsys):
+    root = vault_of(tmp_path, {"fathomark.toml": "[index]\nauto_rebuild = true\n", "a.md": "# A\n\nquokka"})
+    assert run(spark, root, "index")[0] == 0
+    (root / "a.md").write_text("# A\n\nwalrus")
+    os.utime(root / "a.md", (4e9, 4e9))
+    capsys.readouterr()
+    assert "[index鮮度]" in run(spark, root, "health")[1] and "anew" not in capsys.readouterr().err
+    assert run(spark, root, "find", "walrus")[0] == 0 and "anew" in capsys.readouterr().err
+    os.utime(root / "a.md", (1, 1))
+    (root / "a.md").rename(root / "b.md")
+    assert "b.md" in run(spark, root, "find", "walrus")[1]
+    (root / "c.md").write_text("# C\n\nquokka")
+    (root / "b.md").unlink()
+    assert run(spark, root, "find", "walrus")[0] == 1 and run(spark, root, "find", "quokka")[0] == 0
+
+
+def test_disabled_checks_are_left_out_of_output_and_report(spark, tmp_path):
+    root = vault_of(tmp_path, {"fathomark.toml": "[health]\ndisable = ['frontmatter', 'tags']\n", "a.md": "---\ntitle: x\n\nopen"})
+    report = tmp_path / "report.txt"
+    code, out = run(spark, root, "health", "--md-report", str(report))
+    assert code == 0 and "frontmatter" not in out and "タグなし" not in out and "[要約なし (1件)]" in out
+    text = report.read_text()
+    assert "タグなし" not in text and "## 要約なし (1件)" in text and text.endswith("合計: 1ノート中 3件の問題 (重複あり)\n")
+    assert run(spark, root, "index", "--check")[0] == 1  # the index still tells of broken files
+    (root / "fathomark.toml").write_text("[health]\ndisable = ['nope']\n")
+    assert run(spark, root, "health")[0] == 2
+
+
+def test_ambiguous_notes_and_targets(spark, tmp_path, capsys):
+    root = vault_of(tmp_path, {"fathomark.toml": "", "x/same.md": "# X", "y/same.md": "# Y", "hub.md": "[[same]] [[x/same]]"})
+    assert run(spark, root, "links", "same")[0] == 2
+    said = capsys.readouterr().err
+    assert "x/same.md" in said and "y/same.md" in said
+    code, out = run(spark, root, "links", "hub")
+    assert code == 0 and "target 2件, 解決 2件" in out and out.count("path: ") == 2
+    assert run(spark, root, "backlinks", "y/same")[0] == 0
+
+
+def test_output_of_a_first_run_is_pure_json(spark, tmp_path, capsys):
+    root = vault_of(tmp_path, {"fathomark.toml": "", "a.md": "---\ntitle: A\nsummary: |\n  one\n  two\ntags: [t]\n---\n\nquokka body"})
+    code, out = run(spark, root, "find", "quokka", "--json")
+    rows = [json.loads(x) for x in out.splitlines()]
+    assert code == 0 and len(rows) == 2 and rows[1]["summary"] == "one\ntwo\n" and "no index yet" in capsys.readouterr().err
+    assert [json.loads(x) for x in run(spark, root, "find", "zzzz", "--json")[1].splitlines()] == [{"type": "meta", "command": "find", "count": 0, "order": "relevance", "capped": False}]
+
+
+def test_a_reader_that_leaves_early_is_no_error(spark, tmp_path):
+    root = vault_of(tmp_path, {"fathomark.toml": "", "a.md": "# A\n\nquokka"})
+    run(spark, root, "index")
+
+    def closed(_):
+        raise BrokenPipeError
+
+    kept = os.dup(1)
+    try:
+        assert cli.main(["--root", str(root), "find", "quokka"], spark, closed) == 0
+    finally:
+        os.dup2(kept, 1)
+        os.close(kept)
+
+
+def test_executable_bits_come_from_the_git_index(tmp_path):
+    import subprocess
+
+    root = vault_of(tmp_path, {"fathomark.toml": "[health]\nexec_bit_prefixes = ['bin']\n", "bin/no.sh": "#", "bin/yes.sh": "#", "bin/x.txt": "#", "lib/no.sh": "#", "bin/é.sh": "#"})
+    os.chmod(root / "bin/yes.sh", 0o755)
+    git = lambda *a: subprocess.run(["git", "-C", str(root), *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "-A")
+    git("update-index", "--chmod=+x", "bin/yes.sh")
+    git("update-index", "--chmod=-x", "bin/no.sh", "bin/é.sh")
+    assert sorted(discover.executable_bits(load_config(root))) == [("bin/no.sh", "100644"), ("bin/é.sh", "100644")]
+
+
+def test_files_that_cannot_be_read_are_reported(spark, tmp_path):
+    files = [discover.NoteFile(tmp_path / "gone.md", "gone.md")]
+    row = discover.read_files(spark, files).first()
+    assert row.text is None and row.hash is None and "gone.md" in row.error
+
+
+def test_a_local_folder_is_refused_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from fathomark.sources.store import SHARED_VARIABLE, require_shared
+
+    cluster = Fake(sparkContext=Fake(master="spark://host:7077"))
+    with pytest.raises(ConfigError, match="local to a machine"):
+        require_shared(cluster, "file:///x")
+    require_shared(cluster, "hdfs://x/y")
+    monkeypatch.setenv(SHARED_VARIABLE, "1")
+    require_shared(cluster, "file:///x")
+
+
+def test_scratch_of_other_applications_is_cleared(spark, tmp_path, monkeypatch):
+    from fathomark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    (tmp_path / "fathomark/run-old/x").mkdir(parents=True)
+    (tmp_path / "fathomark/feeds").mkdir()
+    os.utime(tmp_path / "fathomark/run-old", (1, 1))
+    assert session.clear_scratch(spark) == 1 and [p.name for p in (tmp_path / "fathomark").iterdir()] == ["feeds"]
