@@ -12,7 +12,6 @@ import functools
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomark.operators.ordering import running_before
 from fathomark.session import materialise
+from fathomark.sources.store import arrow_uri
 
 LIMIT, OVERLAP_LOW, OVERLAP_HIGH = 2000, 100, 200
 #: Bytes of a text that one range covers; a worker sees a range and a halo on either side.
@@ -249,13 +249,6 @@ def pieces(items: DataFrame, text: str = "text", limit: int = LIMIT, overlap: tu
     return _stitched(cells, kept, _params(limit, overlap, width))
 
 
-def _uri(path: str) -> str:
-    """A path as Spark lists it, without escapes and, if local, as ``file:/path``, as a URI."""
-    scheme, rest = path.split(":", 1)
-    slashes = "" if rest.startswith("//") else "//"
-    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{slashes}{quote(rest, safe='/:@')}"
-
-
 def file_pieces(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: tuple[int, int] = (OVERLAP_LOW, OVERLAP_HIGH), width: int = RANGE, glob: str = "*") -> DataFrame:
     """``file, ord, begin, end, piece`` of the UTF-8 text files below ``folder``, cut as by :func:`pieces`.
 
@@ -275,7 +268,7 @@ def file_pieces(spark: SparkSession, folder: str, limit: int = LIMIT, overlap: t
         for b in batches:
             for file, number, base, total in zip(*(b.column(n).to_pylist() for n in ("file", "_range", "_base", "_total")), strict=True):
                 if opened[0] != file:
-                    system, path = arrow_fs.FileSystem.from_uri(_uri(file))
+                    system, path = arrow_fs.FileSystem.from_uri(arrow_uri(file))
                     opened = file, system.open_input_file(path)
                 opened[1].seek(base)
                 window = opened[1].read(min(total, (number + 1) * width + reach) - base)
