@@ -249,6 +249,25 @@ def documents_issues(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("readable", "issue").agg(F.count("*").alias("n"))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return parse_texts(table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "path", "text"))
+
+
+def parsed_content(spark: SparkSession, d: str) -> DataFrame:
+    """Of each readable document the body without frontmatter: its digest and words."""
+    return _parsed(spark, d).where("readable").select("doc_id", F.sha2("content", 256).alias("digest"), tx.word_count(F.col("content")).alias("word_count"))
+
+
+def parsed_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parsed(spark, d).where("readable")
+    return rows.select("doc_id", "title", "date", "updated", "summary", F.size("tags").cast("long").alias("tags"), F.array_join("tags", "|").alias("tag_list"))
+
+
+def parsed_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose frontmatter is broken, and how."""
+    return _parsed(spark, d).where(F.col("issue").isNotNull() | ~F.col("readable")).select("doc_id", "issue", "readable")
+
+
 QUERIES: dict[str, Query] = {
     "find_bm25_single": _find("pipeline"), "find_bm25_multi": _find("calibration kitchen"), "find_bm25_accent": _find("déplacé goûter"),
     "find_bm25_cjk": _find("ロボット"), "find_zero": _find("zzqqxx"), "find_short_like": _find("庭"), "find_mixed_like": _find("pipeline 50"),
@@ -261,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "embed_plan": embed_plan, "embedding_texts": embedding_texts, "health_no_tags": _health("tags"), "health_no_summary": _health("summary"),
     "health_low_words": _health("low_words"), "health_no_updated": _health("updated"), "health_total": health_total,
     "path_digest": path_digest, "stale_files": stale_files, "documents_parsed": documents_parsed, "documents_issues": documents_issues,
+    "parsed_content": parsed_content, "parsed_fields": parsed_fields, "parsed_issues": parsed_issues,
 }
 
 
@@ -285,6 +305,22 @@ _GRAMS = """
 g AS (SELECT path, 'title' AS field, lower(title) AS x FROM c UNION ALL SELECT path, 'content', lower(content) FROM c),
 grams AS (SELECT path, substr(x, i, 3) AS gram FROM (SELECT path, x, unnest(range(1, length(x) - 1)) AS i FROM g))"""
 
+_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{b}\x{1c}-\x{1f}]"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_GAP = _BLANK.replace(r"\s", r" \t\f\r")
+#: The documents' frontmatter as lines of plain scalars and lists, which is all that these tables hold; other lines among
+#: them make it unreadable.
+_PARSED = rf"""
+raw AS (SELECT doc_id, path, text, {_TRIM('text')} AS t FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT *, split_part(t, chr(10), 1) AS head, substr(t, length(split_part(t, chr(10), 1)) + 1) AS rest FROM raw),
+flags AS (SELECT *, regexp_full_match(head, '-{{3,}}{_BLANK}*') AND regexp_matches(rest, '(?m)^-{{3,}}{_BLANK}*$') AS framed FROM cut),
+parts AS (SELECT *, CASE WHEN framed THEN regexp_extract(rest, '(?ms)\A(.*?)^-{{3,}}{_GAP}*$', 1) ELSE '' END AS fm,
+  CASE WHEN framed THEN {_TRIM(rf"regexp_extract(rest, '(?ms)\A.*?^-{{3,}}{_GAP}*$(.*)', 1)")} ELSE t END AS content FROM flags),
+counts AS (SELECT *, len(regexp_extract_all(fm, '(?m)^[a-z]+:(?:[ \r]|$)')) AS keyed, len(regexp_extract_all(fm, '(?m)^[^\s#-]')) AS begun FROM parts),
+read AS (SELECT *, NOT (framed AND keyed > 0 AND begun > keyed) AS readable FROM counts)"""
+_FIELD = lambda k: f"trim(regexp_extract(fm, '(?m)^{k}: +(.*?){_GAP}*$', 1))"
+_UNCLOSED_SQL = f"starts_with(text, '---') AND (NOT contains(text, chr(10)) OR NOT regexp_matches(substr(text, length(split_part(text, chr(10), 1)) + 2), '(?m)^---{_BLANK}*$'))"
+
 ORACLES: dict[str, str] = {
     **{
         name: f"{WITH}, {_bm25_sql(terms)} SELECT path, round(score, 6) AS score FROM bm"
@@ -332,6 +368,17 @@ SELECT path, CASE WHEN now.path IS NULL THEN 'drop' WHEN old.path IS NOT NULL AN
     "health_no_updated": f"{WITH} SELECT path, title, word_count FROM n WHERE updated = ''",
     "health_total": f"{WITH}, k AS (SELECT * FROM n WHERE NOT starts_with(path, 'drafts/')) SELECT count(*) AS notes, CAST(sum((path NOT IN (SELECT path FROM t))::INT + (summary = '')::INT + (word_count < 50)::INT + (updated = '')::INT) AS BIGINT) AS issues FROM k",
     "path_digest": f"{WITH} SELECT sha256(string_agg(path, chr(10) ORDER BY path)) AS digest, count(*) AS notes FROM n",
+    "parsed_content": f"""WITH {_PARSED}
+SELECT doc_id, sha256(content) AS digest, CAST(len(regexp_extract_all(content, '[\\x{{3000}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ff66}}-\\x{{ff9f}}]')) + len(regexp_extract_all(content, '[a-zA-Z0-9]+')) AS BIGINT) AS word_count
+FROM read WHERE readable""",
+    "parsed_fields": f"""WITH {_PARSED},
+listed AS (SELECT *, CASE WHEN regexp_matches(fm, '(?m)^tags: *\\[') THEN list_filter(list_transform(string_split(regexp_extract(fm, '(?m)^tags: *\\[(.*)\\]', 1), ','), lambda x: trim(x)), lambda x: x <> '')
+  ELSE list_transform(regexp_extract_all(regexp_extract(fm, '(?m)^tags:[ ]*\\n((?:[ ]*- .*\\n?)+)', 1), '(?m)^ *- (.*)$', 1), lambda x: trim(x)) END AS tl FROM read WHERE readable)
+SELECT doc_id, CASE WHEN {_FIELD('title')} <> '' THEN {_FIELD('title')} WHEN regexp_matches(content, '(?m)^#{_GAP}(.+)$') THEN {_TRIM(f"regexp_extract(content, '(?m)^#{_GAP}(.+)$', 1)")}
+  ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') END AS title,
+  {_FIELD('date')} AS date, {_FIELD('updated')} AS updated, {_FIELD('summary')} AS summary, CAST(len(tl) AS BIGINT) AS tags, array_to_string(tl, '|') AS tag_list FROM listed""",
+    "parsed_issues": f"""WITH {_PARSED}
+SELECT doc_id, CASE WHEN {_UNCLOSED_SQL} THEN '閉じ---欠落' WHEN NOT readable THEN 'YAMLエラー' END AS issue, readable FROM read WHERE NOT readable OR ({_UNCLOSED_SQL})""",
     "stale_files": """WITH m AS (SELECT max(TRY_CAST(trim(value) AS DOUBLE)) AS made FROM meta WHERE key = 'generated'),
 r AS (SELECT path, max(collected_at) AS seen FROM collected_notes GROUP BY path)
 SELECT CAST(sum((epoch_us(seen) / 1e6 > made)::INT) AS BIGINT) AS stale FROM r, m""",
