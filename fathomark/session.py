@@ -52,6 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, for work in Python that costs more than moving them, where a scan has fewer splits than
+    there are cores: a file of few row groups is read by few tasks. Otherwise, and at scale, the scan as it is.
+
+    ``df`` must be a scan with at most projections and filters: its splits are counted by planning it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _RUNS: set[str] = set()
 
 
