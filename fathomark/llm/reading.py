@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fathomark.llm.chars import BASES, LETTER, SPACE, classes, join, lower, run_hashes
 from fathomark.llm.markup import mask
-from fathomark.session import materialise
+from fathomark.session import materialise, spread
 
 #: Hash buckets for words; a documented bound on what is broadcast (8 bytes each) and collected (28 bytes each).
 BUCKETS = 1 << 20
@@ -150,7 +150,7 @@ def prepared(documents: DataFrame) -> DataFrame:
                 begin = end
 
     source = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return source.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PREPARED)
+    return spread(source.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, _PREPARED)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

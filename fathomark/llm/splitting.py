@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.operators.ordering import running_before
-from fathomark.session import materialise
+from fathomark.session import materialise, spread
 from fathomark.sources.store import arrow_uri
 
 LIMIT, OVERLAP_LOW, OVERLAP_HIGH = 2000, 100, 200
@@ -285,7 +285,7 @@ def vault_items(corpus: DataFrame, collected: DataFrame) -> DataFrame:
     repeated, so its texts are not shuffled. The current row of a path has the greatest ``collected_at`` (of equals, the
     greatest digest).
     """
-    notes = corpus.where(F.col("content").isNotNull()).select(F.lit("corpus").alias("item_table"), "path", F.xxhash64("content").alias("item"), F.col("content").alias("text"))
+    notes = spread(corpus.where(F.col("content").isNotNull()).select("path", "content")).select(F.lit("corpus").alias("item_table"), "path", F.xxhash64("content").alias("item"), F.col("content").alias("text"))
     rows = collected.select("path", F.struct("collected_at", F.xxhash64("text").alias("item")).alias("at"), "text")
     rows = rows.groupBy("path").agg(F.max("at").alias("at"), F.max_by("text", "at").alias("text")).where(F.col("text").isNotNull())
     return notes.unionByName(rows.select(F.lit("collected_notes").alias("item_table"), "path", F.col("at.item").alias("item"), "text"))

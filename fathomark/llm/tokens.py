@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomark.llm.chars import LETTER, SPACE, classes, first_of_equal, join
+from fathomark.session import spread
 
 #: Fixed value: the pre-token pattern of the public byte_bpe_50k vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,7 +233,7 @@ def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[i
 def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, ids``: one row a row of ``documents``, null and empty texts as an empty list; whole texts, no special tokens.
 
-    Map-only: no shuffle. Other columns are not read.
+    Map-only: no shuffle, but where the table has fewer splits than there are cores. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -257,4 +258,4 @@ def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             for i, j in slices(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(enc.counts(texts[i:j]), pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, tokens long")
