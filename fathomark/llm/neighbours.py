@@ -20,8 +20,8 @@ DIMENSIONS = 64
 SAMPLE = 16_384
 #: Vectors a cell is meant to hold, the most centres of a level, and the members of a cell that one task scans.
 CELL, MOST_CENTRES, BLOCK = 400, 2048, 2_000
-#: Cells that a query looks into first, where their number is not tuned.
-PROBES = 12
+#: Cells that a query looks into first, where all others that may hold something follow.
+PROBES = 2
 #: Queries by which the number of cells is tuned, the most cells tried, and the share of true neighbours wanted in them.
 TUNED_BY, MOST_TRIED, TARGET = 256, 4096, 0.97
 #: Candidates of a query in a block that are scored exactly first; further ones follow as far as the error bound demands.
@@ -132,8 +132,9 @@ class Quantiser:
         """Four-bit codes of each subspace, chosen in turn so that the anisotropic loss of the whole vector is least."""
         rest = (x - self.centres[_nearest(x, self.centres)]).reshape(len(x), _SUBSPACES, -1)
         parts = x.reshape(rest.shape)
-        error = np.stack([((rest[:, m, None, :] - self.books[m]) ** 2).sum(2) for m in range(_SUBSPACES)], axis=1)
-        along = np.stack([((rest[:, m, None, :] - self.books[m]) * parts[:, m, None, :]).sum(2) for m in range(_SUBSPACES)], axis=1)
+        flat = lambda x: np.matmul(x.transpose(1, 0, 2), self.books.transpose(0, 2, 1)).transpose(1, 0, 2)  # noqa: E731  (inner products with all codewords)
+        error = (rest**2).sum(2)[:, :, None] - 2 * flat(rest) + (self.books**2).sum(2)
+        along = np.einsum("nmd,nmd->nm", rest, parts)[:, :, None] - flat(parts)
         codes = error.argmin(2)
         rows = np.arange(len(x))
         total = sum(along[rows, m, codes[:, m]] for m in range(_SUBSPACES)) if len(x) else np.zeros(0)
