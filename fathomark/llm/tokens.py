@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomark.llm.chars import LETTER, SPACE, classes, first_of_equal, join
@@ -25,7 +26,7 @@ from fathomark.session import spread
 
 #: Fixed value: the pre-token pattern of the public byte_bpe_50k vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where the vocabulary files lie; a parameter of every function here.
+#: Where the driver finds the vocabulary; a parameter of every function here. Workers get the file from the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -188,8 +189,15 @@ class Encoder:
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to all workers, once an application; the name by which they find it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def encoder(name: str) -> Encoder:
+    """One encoder a worker process, of a vocabulary that was shipped."""
+    path = SparkFiles.get(name)
     key = (os.getpid(), path)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path)
@@ -200,15 +208,16 @@ def encoder(path: str) -> Encoder:
 SLICE_CHARS = 2_000_000
 
 
-#: Places where a pre-token begins whatever stands around: a blank between letters, a kana after a full stop or comma.
-_SURE = re.compile(r"(?<=[a-z])(?= [a-z])|(?<=[。、])(?=[\u3041-\u3096])")
+#: Places where a pre-token begins whatever stands around: white space after anything else; a Japanese full stop or comma
+#: after a letter, and a kana after those. Only a single pre-token longer than a part stays whole.
+_SURE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[^\W\d_])(?=[。、])|(?<=[。、])(?=[\u3041-\u3096])")
 
 
 def parts(text: str, most: int) -> list[str]:
     """A text cut, after about ``most`` characters, where a pre-token surely begins; the parts give the same ids."""
     out, at = [], 0
     while len(text) - at > most:
-        m = _SURE.search(text, at + most // 2)
+        m = _SURE.search(text, at + max(most // 2, 1))
         if not m:
             break
         out.append(text[at : m.start()])
@@ -236,8 +245,10 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     Map-only: no shuffle, but where the table has fewer splits than there are cores. Other columns are not read.
     """
 
+    name = ship(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(name)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
@@ -251,8 +262,10 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def token_counts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, tokens``: the length of what :func:`encode` gives, without carrying the ids."""
 
+    name = ship(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(name)
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
