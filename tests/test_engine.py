@@ -256,6 +256,47 @@ def test_encoder_and_dot(spark):
     assert [(r.path, r.score) for r in vector.nearest(df, [0.5, 1.0], 5).collect()] == [("b", 1.0), ("a", 0.5)]
 
 
+def test_pooling_leaves_padding_out():
+    import numpy as np
+
+    tokens = np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [[1.0, 1.0], [5.0, 5.0], [5.0, 5.0]]])
+    got = vector.mean_pool(tokens, np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(got[0], [0.6, 0.8]) and not got[1].any()
+
+
+def test_batches_are_of_similar_length_and_rows_keep_their_vectors(spark, tmp_path):
+    class Noting(vector.HashingEncoder):
+        def encode(self, texts):
+            with open(f"{tmp_path}/batches", "a") as f:
+                f.write(json.dumps([len(t) for t in texts]) + "\n")
+            return super().encode(texts)
+
+    texts = [("x" * (i * 37 % 50), i) for i in range(20)]
+    df = spark.createDataFrame(texts, "text string, i int").coalesce(1)
+    got = {r.i: r.embedding for r in vector.encode_column(df, "text", Noting(8), batch=4).collect()}
+    plain = vector.HashingEncoder(8).encode([t for t, _ in texts])
+    assert all(got[i] == plain[i].tolist() for i in range(20))
+    sizes = [json.loads(x) for x in (tmp_path / "batches").read_text().splitlines()]
+    assert [n for b in sizes for n in b] == sorted((len(t) for t, _ in texts), reverse=True) and all(len(b) == 4 for b in sizes)
+
+
+def test_precomputed_vectors():
+    e = vector.PrecomputedEncoder({"a": [1.0, 0.0]})
+    assert e.dimensions == 2 and e.encode(["a"]).tolist() == [[1.0, 0.0]]
+    with pytest.raises(KeyError):
+        e.encode(["b"])
+
+
+def test_tags_are_counted_in_windows_of_file_times(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    rows = [("a.md", "---\ntags: [x, y]\n---\n", "h", 1), ("b.md", "---\ntags: [x]\n---\n", "h", 1), ("c.md", "---\ntags: [x]\n---\n", "h", 3)]
+    df = spark.createDataFrame(rows, "path string, text string, hash string, day int")
+    df.select("path", "text", "hash", F.make_timestamp_ltz(F.lit(2030), F.lit(1), F.col("day"), F.lit(5), F.lit(0), F.lit(0)).alias("at")).write.parquet(source)
+    counts = ingest.tag_activity(spark.readStream.schema(ingest.FILES).parquet(source))
+    counts.writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
+    assert sorted((r.window.start.day, r.tag, r.n) for r in spark.table("activity").collect()) == [(1, "x", 2), (1, "y", 1), (3, "x", 1)]
+
+
 def test_streaming_ingestion_takes_each_version_once(spark, tmp_path):
     source, out, point = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/point"
     source.mkdir()
