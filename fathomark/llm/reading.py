@@ -160,11 +160,26 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Words:
-    """What is known of the words: difficulty and weight a bucket. Sent to the workers."""
+    """What is known of the words: difficulty and weight a bucket. Sent to the workers, only the known ones."""
 
     def __init__(self, mean: np.ndarray, weight: np.ndarray):
         self.mean, self.weight = mean.astype(np.float32), weight.astype(np.float32)
 
+    def __getstate__(self) -> tuple:
+        at = np.flatnonzero(self.weight).astype(np.int32)
+        return len(self.mean), at, self.mean[at], self.weight[at]
+
+    def __setstate__(self, state: tuple) -> None:
+        many, at, mean, weight = state
+        self.mean, self.weight = np.zeros(many, np.float32), np.zeros(many, np.float32)
+        self.mean[at], self.weight[at] = mean, weight
+
+    def moved(self, last: _Words) -> float:
+        """By how much the words known then and now have moved, by weight."""
+        both = (last.weight > 0) & (self.weight > 0)
+        total = float(self.weight[both].sum(dtype=float))
+        return float((self.weight * np.abs(self.mean - last.mean))[both].sum(dtype=float)) / total if total else 0.0
+
     @staticmethod
     def of(rows: pa.Table) -> _Words:
         """The sharper a word's difficulty and the more documents tell of it, the more it weighs; of few documents it
@@ -210,15 +225,13 @@ def _bands(b: pa.RecordBatch, words: _Words, chance: np.ndarray) -> tuple[np.nda
     return logs.argmax(1) + BANDS[0], np.bincount(text, minlength=b.num_rows) > 0
 
 
-def _spread(docs: DataFrame, words: _Words | None, last: _Words | None, trust: float) -> tuple[pa.Table, float]:
-    """``bucket, den, num, sq``: weights, levels and squares that documents give their words; and by how much the levels
-    of ungraded documents have moved since ``last`` on average."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, last))
+def _spread(docs: DataFrame, words: _Words | None, trust: float) -> _Words:
+    """What documents make of their words: first the graded ones alone, then all with their level by ``words``."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = shared.value
+        words = shared.value
         sums = np.zeros((3, BUCKETS))
-        moved, count = 0.0, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -229,24 +242,16 @@ def _spread(docs: DataFrame, words: _Words | None, last: _Words | None, trust: f
             if words is not None:
                 own, known = words.levels(flat, each)
                 level, weight = np.where(graded, grade, own), np.where(graded, 1.0, trust * known)
-                free = ~graded & known
-                if last is not None:
-                    before, had = last.levels(flat, each)
-                    moved += float(np.where(had, np.abs(own - before), 1.0)[free].sum())
-                    count += int(free.sum())
             w, f = np.repeat(weight, each), np.repeat(level, each)
             for k, part in enumerate((w, w * f, w * f * f)):
                 sums[k] += np.bincount(flat, part, BUCKETS)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(s[at]) for s in sums)], names=["bucket", "den", "num", "sq"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(count)]), pa.array([moved]), pa.array([0.0])], names=["bucket", "den", "num", "sq"])
 
     parts = docs.select("grade", "words").mapInArrow(run, "bucket int, den double, num double, sq double")
-    rows = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("den", "num", "sq")]).toArrow()  # at most BUCKETS + 1 rows
-    at = rows["bucket"].to_numpy()
-    total = np.flatnonzero(at < 0)
-    moved = float(rows["num"].to_numpy()[total].sum() / max(rows["den"].to_numpy()[total].sum(), 1))
-    return rows.filter(pa.array(at >= 0)), moved
+    rows = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("den", "num", "sq")]).toArrow()  # at most BUCKETS rows
+    shared.destroy()
+    return _Words.of(rows)
 
 
 def _chances(graded: DataFrame, words: _Words) -> np.ndarray:
@@ -292,8 +297,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 100, u
     """``doc_id, chars, level, band, judged``: continuous level and band 1 to 4 of each document that has a text, and the band
     by its text alone.
 
-    The harmonic iterations end when no further word becomes known and the levels of ungraded documents move by less
-    than ``settled`` on average; ``rounds`` is a safety bound, and a warning says so if it ends them. Graded documents
+    The harmonic iterations end when no further word becomes known and words' difficulties move by less than ``settled``
+    on average, by weight; ``rounds`` is a safety bound, and a warning says so if it ends them. Graded documents
     keep their grade as level and, rounded, as band; ``judged`` is what their text says, as labels err. Ungraded
     documents pass on their level, all together with ``ungraded`` times the weight of all graded ones. A text without
     known words (empty, blank, only code) has nulls for level and bands, unless it is graded. Without any label all are
@@ -306,13 +311,14 @@ def reading_levels(documents: DataFrame, labels: DataFrame, rounds: int = 100, u
     graded = materialise(docs.where(F.col("grade").isNotNull()), "graded")
     given = graded.count()
     trust = ungraded * given / max(docs.count() - given, 1)
-    last, words = None, _Words.of(_spread(graded, None, None, trust)[0])
+    words = _spread(graded, None, trust)
     for _ in range(rounds):
-        rows, moved = _spread(docs, words, last, trust)
-        new = _Words.of(rows)
-        done = last is not None and moved < settled and not ((words.weight == 0) & (new.weight > 0)).any()
-        last, words = words, new
-        if done or not given:
+        if not given:
+            break
+        new = _spread(docs, words, trust)
+        done = new.moved(words) < settled and not ((words.weight == 0) & (new.weight > 0)).any()
+        words = new
+        if done:
             break
     else:
         warnings.warn(f"reading levels have not settled in {rounds} rounds", stacklevel=2)
