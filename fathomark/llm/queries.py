@@ -28,6 +28,11 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_forms(lookalike.vault_values(*(table(spark, d, n) for n in ("notes", "tags", "corpus"))))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each value the member that stands for its class."""
+    return p3_canonical(spark, d).drop("class")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.structure(table(spark, d, "corpus"))
 
@@ -86,10 +91,16 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
+def p10_graded(spark: SparkSession, d: str) -> DataFrame:
+    """What graded documents come out with: their grade."""
+    known = reading.grades(table(spark, d, "reading_labels")).select("doc_id")
+    return p10_levels(spark, d).join(known, "doc_id", "left_semi").select("doc_id", F.round("level", 6).alias("level"), "band")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean,
+    "p2_found": p2_found, "p2_nearest": p2_nearest, "p3_found": p3_found, "p3_canonical": p3_canonical, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_cover": p5_cover, "p7_found": p7_found, "p7_ranking": p7_ranking,
-    "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_levels": p10_levels,
+    "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_levels": p10_levels, "p10_graded": p10_graded,
 }
 
 
@@ -171,6 +182,15 @@ FROM items WHERE text IS NOT NULL
 """,
     "p7_found": _HITS + "SELECT query_id, arg_min(path, (-points, path)) AS path FROM points GROUP BY query_id HAVING count(*) FILTER (top = 3) = 1",
     "p7_ranking": _HITS + "SELECT query_id, path, CAST(points AS DOUBLE) AS points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, path) AS position FROM points",
+    "p3_classes": f"""
+WITH {_values()},
+forms AS (SELECT field, key, md5(value) AS vid, {_look_sql("value")} AS form FROM vals)
+SELECT DISTINCT field, key, min(vid) OVER (PARTITION BY field, form) AS canonical FROM forms
+""",
+    "p10_graded": """
+WITH g AS (SELECT doc_id, avg(band) AS grade FROM (SELECT DISTINCT doc_id, reader, band FROM reading_labels WHERE band BETWEEN 1 AND 4 AND doc_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, round(grade, 6) AS level, CAST(round_even(grade, 0) AS BIGINT) AS band FROM documents JOIN g USING (doc_id) WHERE text IS NOT NULL
+""",
     "p3_found": f"""
 WITH {_values()},
 forms AS (SELECT field, key, value, {_look_sql("value")} AS form FROM vals),
