@@ -147,19 +147,22 @@ def postings(corpus: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("gram", "path", "field", (F.col("p") + 1).alias("pos"))
 
 
-#: Folders over which postings are dealt by a hash of the trigram, and tasks that write one of them.
-BUCKETS, WRITERS = 64, 4
+#: Postings are dealt by a hash of the trigram over folders of about so many characters, at least so many folders; and the
+#: tasks that write one of them.
+BUCKET_CHARS, LEAST_BUCKETS, WRITERS = 200_000_000, 8, 4
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
-def write_postings(corpus: DataFrame, place: str, buckets: int = BUCKETS) -> None:
-    """Store the postings of a corpus, in folders by bucket and sorted by trigram, and the notes' lengths beside them.
+def write_postings(corpus: DataFrame, place: str, buckets: int | None = None) -> None:
+    """Store the postings of a corpus, in folders by bucket (None: as many as its length asks for) and sorted by trigram, and
+    the notes' lengths beside them.
 
     A trigram's rows lie in one folder, in stretches of few row groups; a frequent trigram is shared by several tasks.
     """
+    buckets = buckets or max(LEAST_BUCKETS, int(corpus_stats(corpus).first().total or 0) // BUCKET_CHARS)
     rows = postings(corpus).withColumn("bucket", _bucket(F.col("gram"), buckets))
     dealt = rows.repartition(buckets * WRITERS, "bucket", F.pmod(F.xxhash64("path"), F.lit(WRITERS))).sortWithinPartitions("bucket", "gram", "path", "field", "pos")
     dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/postings")

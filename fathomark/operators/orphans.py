@@ -128,9 +128,10 @@ def cascade(records: DataFrame, refs: DataFrame, direct: DataFrame) -> DataFrame
     pointers = materialise(refs.where(F.col("parent_key").isNotNull()).select("tbl", "rid", "parent_tbl", "parent_key", *held).distinct(), "pointers")
     pointed = pointers.select(F.col("parent_tbl").alias("tbl"), F.col("parent_key").alias("key")).distinct()
     holders = materialise(records.where(F.col("key").isNotNull()).select("tbl", "rid", "key").distinct().join(pointed, ["tbl", "key"], "left_semi"), "holders")
+    passing = not holders.isEmpty()  # else no orphan has children
     read = lambda *rounds: spark.read.schema(shape).parquet(*[f"{place}/{n}" for n in rounds])
     depth = 0
-    while not read(depth).isEmpty():
+    while passing and not read(depth).isEmpty():
         known = read(*range(depth + 1)).select("tbl", "rid").distinct()
         touched = holders.join(read(depth).select("tbl", "rid"), ["tbl", "rid"], "left_semi").select("tbl", "key").distinct()
         alive = holders.join(touched, ["tbl", "key"], "left_semi").join(known, ["tbl", "rid"], "left_anti").select("tbl", "key")

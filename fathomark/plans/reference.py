@@ -14,6 +14,7 @@ from fathomark.operators import browse, changes, fusion, graph, health, lexical,
 from fathomark.plans import vault
 from fathomark.plans.problems import RUN_SQL
 from fathomark.session import scratch_path, table
+from fathomark.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 WITH = "WITH" + vault.SQL
@@ -241,7 +242,7 @@ def stale_files(spark: SparkSession, d: str) -> DataFrame:
 def documents_parsed(spark: SparkSession, d: str) -> DataFrame:
     """The documents as notes: fields, and what is wrong with their frontmatter."""
     rows = parse_texts(table(spark, d, "documents").select("doc_id", "path", "text"))
-    return rows.select("doc_id", "title", F.array_join("tags", ", ").alias("tags"), "date", "updated", "summary", F.sha2("content", 256).alias("content"), "readable", "issue", "detail")
+    return rows.select("doc_id", "title", F.array_join("tags", ", ").alias("tags"), "date", "updated", "summary", F.sha2("content", 256).alias("content"), "readable", "issue")
 
 
 def documents_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -268,6 +269,15 @@ def parsed_issues(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).where(F.col("issue").isNotNull() | ~F.col("readable")).select("doc_id", "issue", "readable")
 
 
+def index_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how many rows the index tables of the documents have, and how many different tags."""
+    made = catalog.note_tables(parse_texts(table(spark, d, "documents").select("path", "text")))
+    ones = [made[name].select(F.lit(name).alias("t"), F.col("tag").alias("tag") if name == "tags" else F.lit(None).cast("string").alias("tag")) for name in ("notes", "tags", "links", "corpus")]
+    every = ones[0].unionAll(ones[1]).unionAll(ones[2]).unionAll(ones[3])
+    counts = [F.count_if(F.col("t") == n).alias(n) for n in ("notes", "tags", "links", "corpus")]
+    return every.agg(*counts, F.count_distinct("tag").alias("distinct_tags"))
+
+
 QUERIES: dict[str, Query] = {
     "find_bm25_single": _find("pipeline"), "find_bm25_multi": _find("calibration kitchen"), "find_bm25_accent": _find("déplacé goûter"),
     "find_bm25_cjk": _find("ロボット"), "find_zero": _find("zzqqxx"), "find_short_like": _find("庭"), "find_mixed_like": _find("pipeline 50"),
@@ -280,7 +290,7 @@ QUERIES: dict[str, Query] = {
     "embed_plan": embed_plan, "embedding_texts": embedding_texts, "health_no_tags": _health("tags"), "health_no_summary": _health("summary"),
     "health_low_words": _health("low_words"), "health_no_updated": _health("updated"), "health_total": health_total,
     "path_digest": path_digest, "stale_files": stale_files, "documents_parsed": documents_parsed, "documents_issues": documents_issues,
-    "parsed_content": parsed_content, "parsed_fields": parsed_fields, "parsed_issues": parsed_issues,
+    "parsed_content": parsed_content, "parsed_fields": parsed_fields, "parsed_issues": parsed_issues, "index_counts": index_counts,
 }
 
 
@@ -319,6 +329,13 @@ parts AS (SELECT *, CASE WHEN framed THEN regexp_extract(rest, '(?ms)\A(.*?)^-{{
 counts AS (SELECT *, len(regexp_extract_all(fm, '(?m)^[a-z]+:(?:[ \r]|$)')) AS keyed, len(regexp_extract_all(fm, '(?m)^[^\s#-]')) AS begun FROM parts),
 read AS (SELECT *, NOT (framed AND keyed > 0 AND begun > keyed) AS readable FROM counts)"""
 _FIELD = lambda k: f"trim(regexp_extract(fm, '(?m)^{k}: +(.*?){_GAP}*$', 1))"
+_FIELDS = rf"""
+listed AS (SELECT *, CASE WHEN regexp_matches(fm, '(?m)^tags: *\[') THEN list_filter(list_transform(string_split(regexp_extract(fm, '(?m)^tags: *\[(.*)\]', 1), ','), lambda x: trim(x)), lambda x: x <> '')
+  ELSE list_transform(regexp_extract_all(regexp_extract(fm, '(?m)^tags:[ ]*\n((?:[ ]*- .*\n?)+)', 1), '(?m)^ *- (.*)$', 1), lambda x: trim(x)) END AS tl FROM read),
+fields AS (SELECT doc_id, readable, content, tl, CASE WHEN {_FIELD('title')} <> '' THEN {_FIELD('title')}
+  WHEN regexp_matches(content, '(?m)^#{_GAP}(.+)$') THEN {_TRIM(f"regexp_extract(content, '(?m)^#{_GAP}(.+)$', 1)")}
+  ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\.md$', '') END AS title,
+  {_FIELD('date')} AS date, {_FIELD('updated')} AS updated, {_FIELD('summary')} AS summary FROM listed)"""
 _UNCLOSED_SQL = f"starts_with(text, '---') AND (NOT contains(text, chr(10)) OR NOT regexp_matches(substr(text, length(split_part(text, chr(10), 1)) + 2), '(?m)^---{_BLANK}*$'))"
 
 ORACLES: dict[str, str] = {
@@ -371,12 +388,23 @@ SELECT path, CASE WHEN now.path IS NULL THEN 'drop' WHEN old.path IS NOT NULL AN
     "parsed_content": f"""WITH {_PARSED}
 SELECT doc_id, sha256(content) AS digest, CAST(len(regexp_extract_all(content, '[\\x{{3000}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{ff66}}-\\x{{ff9f}}]')) + len(regexp_extract_all(content, '[a-zA-Z0-9]+')) AS BIGINT) AS word_count
 FROM read WHERE readable""",
-    "parsed_fields": f"""WITH {_PARSED},
-listed AS (SELECT *, CASE WHEN regexp_matches(fm, '(?m)^tags: *\\[') THEN list_filter(list_transform(string_split(regexp_extract(fm, '(?m)^tags: *\\[(.*)\\]', 1), ','), lambda x: trim(x)), lambda x: x <> '')
-  ELSE list_transform(regexp_extract_all(regexp_extract(fm, '(?m)^tags:[ ]*\\n((?:[ ]*- .*\\n?)+)', 1), '(?m)^ *- (.*)$', 1), lambda x: trim(x)) END AS tl FROM read WHERE readable)
-SELECT doc_id, CASE WHEN {_FIELD('title')} <> '' THEN {_FIELD('title')} WHEN regexp_matches(content, '(?m)^#{_GAP}(.+)$') THEN {_TRIM(f"regexp_extract(content, '(?m)^#{_GAP}(.+)$', 1)")}
-  ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') END AS title,
-  {_FIELD('date')} AS date, {_FIELD('updated')} AS updated, {_FIELD('summary')} AS summary, CAST(len(tl) AS BIGINT) AS tags, array_to_string(tl, '|') AS tag_list FROM listed""",
+    "parsed_fields": f"""WITH {_PARSED}, {_FIELDS}
+SELECT doc_id, title, date, updated, summary, CAST(len(tl) AS BIGINT) AS tags, array_to_string(tl, '|') AS tag_list FROM fields WHERE readable""",
+    "documents_parsed": f"""WITH {_PARSED}, {_FIELDS}
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN regexp_replace(regexp_extract(d.path, '[^/]*$'), '\\.md$', '') WHEN readable THEN title ELSE '' END AS title,
+  CASE WHEN readable THEN array_to_string(tl, ', ') ELSE '' END AS tags, CASE WHEN readable THEN date ELSE '' END AS date, CASE WHEN readable THEN updated ELSE '' END AS updated,
+  CASE WHEN readable THEN summary ELSE '' END AS summary, sha256(CASE WHEN readable THEN content ELSE '' END) AS content, coalesce(readable, true) AS readable,
+  CASE WHEN {_UNCLOSED_SQL.replace('text', 'd.text')} THEN '閉じ---欠落' WHEN NOT readable THEN 'YAMLエラー' END AS issue
+FROM documents d LEFT JOIN fields USING (doc_id)""",
+    "index_counts": f"""WITH {_PARSED}, {_FIELDS},
+kept AS (SELECT d.path, tl, content FROM documents d LEFT JOIN fields USING (doc_id) WHERE coalesce(readable, true)),
+tagged AS (SELECT DISTINCT path, unnest(tl) AS tag FROM kept)
+SELECT (SELECT count(*) FROM kept) AS notes, (SELECT count(*) FROM tagged) AS tags,
+  (SELECT CAST(coalesce(sum(len(list_distinct(regexp_extract_all(content, '\\[\\[([^\\]|]+?)(?:\\|[^\\]]+?)?\\]\\]', 1)))), 0) AS BIGINT) FROM kept) AS links,
+  (SELECT count(*) FROM kept) AS corpus, (SELECT count(DISTINCT tag) FROM tagged) AS distinct_tags""",
+    "documents_issues": f"""WITH {_PARSED}
+SELECT coalesce(readable, true) AS readable, CASE WHEN {_UNCLOSED_SQL.replace('text', 'd.text')} THEN '閉じ---欠落' WHEN NOT readable THEN 'YAMLエラー' END AS issue, count(*) AS n
+FROM documents d LEFT JOIN read USING (doc_id) GROUP BY ALL""",
     "parsed_issues": f"""WITH {_PARSED}
 SELECT doc_id, CASE WHEN {_UNCLOSED_SQL} THEN '閉じ---欠落' WHEN NOT readable THEN 'YAMLエラー' END AS issue, readable FROM read WHERE NOT readable OR ({_UNCLOSED_SQL})""",
     "stale_files": """WITH m AS (SELECT max(TRY_CAST(trim(value) AS DOUBLE)) AS made FROM meta WHERE key = 'generated'),

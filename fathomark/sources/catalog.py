@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomark.config import Config, ConfigError
 from fathomark.functions import text as tx
 from fathomark.functions.parse import parse_texts
-from fathomark.operators.lexical import BUCKETS, Found, by_relevance, corpus_stats, search_stored, write_postings
+from fathomark.operators.lexical import Found, by_relevance, corpus_stats, search_stored, write_postings
 from fathomark.operators.lexical import find as find_texts
 from fathomark.operators.vector import Encoder, plan_embedding, update_embeddings
 from fathomark.session import materialise
@@ -63,7 +63,7 @@ def build(spark: SparkSession, cfg: Config, postings: bool = True) -> Built:
     corpus = fresh.table("corpus")
     stats = corpus_stats(corpus).first()
     if postings:
-        write_postings(corpus, f"{fresh.url}/grams", 8 if stats.n < 100_000 else BUCKETS)
+        write_postings(corpus, f"{fresh.url}/grams")
     broken = [(r.path, r.issue, r.detail) for r in parsed.where(F.col("issue").isNotNull()).orderBy("ord").select("path", "issue", "detail").toLocalIterator()]  # shown to the user
     meta = {"generated": f"{now // 10**9}.{now % 10**9:09d}", "scanned_paths_sha256": discover.paths_digest([f.rel for f in files]), "notes": stats.n, "total": stats.total or 0}
     fresh.write("meta.json", json.dumps(meta))
