@@ -292,5 +292,18 @@ def vault_items(corpus: DataFrame, collected: DataFrame) -> DataFrame:
 
 
 def oversized(corpus: DataFrame, collected: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``item_table, path`` of the items that :func:`pieces` cuts into more than one piece."""
-    return pieces(vault_items(corpus, collected), limit=limit).where("ord > 1").select("item_table", "path").distinct()
+    """``item_table, path`` of the items that :func:`pieces` cuts into more than one piece.
+
+    Every row is cut where it is read, older rows of ``collected_notes`` too; which of those is the current one is told
+    afterwards from the numbers of pieces, so that no text is shuffled for it.
+    """
+    never = F.lit(None).cast(dict(collected.dtypes)["collected_at"])
+    notes = spread(corpus.select("path", F.col("content").alias("text"))).select(F.lit("corpus").alias("item_table"), "path", never.alias("at"), F.xxhash64("text").alias("item"), "text")
+    rows = spread(collected.select("path", "collected_at", "text")).select(F.lit("collected_notes").alias("item_table"), "path", F.col("collected_at").alias("at"), F.xxhash64("text").alias("item"), "text")
+    every = notes.unionByName(rows)
+    cut = pieces(every, limit=limit).select("item_table", "path", "at", "item", "ord")
+    none = every.where(F.col("text").isNull()).select("item_table", "path", "at", "item", F.lit(0).cast("long").alias("ord"))
+    sizes = cut.unionByName(none).groupBy("item_table", "path", "at", "item").agg(F.max("ord").alias("n"))
+    # A path of the corpus may have several contents; of a collected note the latest row counts (of equals, the greatest digest).
+    own = sizes.groupBy("item_table", "path").agg(F.max("n").alias("most"), F.max(F.struct("at", "item", "n")).alias("m"))
+    return own.where(F.when(F.col("item_table") == "corpus", F.col("most")).otherwise(F.col("m.n")) > 1).select("item_table", "path")
