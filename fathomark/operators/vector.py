@@ -95,10 +95,9 @@ def semantic(vectors: DataFrame, notes: DataFrame, query: Sequence[float], top:
 
 def plan_embedding(current: DataFrame, stored: DataFrame) -> DataFrame:
     """``path, action``: ``keep`` where the stored vector is of the same content, else ``encode``; ``drop`` what is gone."""
-    old = stored.select("path", F.col("hash").alias("old")).where(F.col("path").isNotNull()).dropDuplicates(["path"])
-    both = current.select("path", "hash").where(F.col("path").isNotNull()).dropDuplicates(["path"]).join(old.withColumn("had", F.lit(True)), "path", "full_outer").join(
-        current.select("path").distinct().withColumn("has", F.lit(True)), "path", "left"
-    )
+    once = lambda df, name: df.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("hash").alias(name))
+    old, now = once(stored, "old").withColumn("had", F.lit(True)), once(current, "hash").withColumn("has", F.lit(True))
+    both = now.join(old, "path", "full_outer")
     action = F.when(F.col("has").isNull(), "drop").when(F.col("had").isNotNull() & (F.col("hash") == F.col("old")), "keep").otherwise("encode")
     return both.select("path", action.alias("action"))
 

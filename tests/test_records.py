@@ -92,6 +92,29 @@ def test_cascade_reaches_a_fixpoint_over_chains_and_cycles(spark):
     assert {(r.rid, r.depth) for r in ring.collect()} == {("5", 0), ("6", 1)}
 
 
+def test_cascade_agrees_with_a_slow_fixpoint(spark):
+    rng = random.Random(8)
+    records = [(t, str(i), f"k{rng.randint(0, 29)}" if rng.random() < 0.9 else None) for t in "ab" for i in range(25)]
+    refs = [(*rng.choice(records)[:2], rng.choice("ab"), f"k{rng.randint(0, 29)}") for _ in range(90)]
+    seeds = {r[:2] for r in rng.sample(records, 18)}
+    want = {r: 0 for r in seeds}
+    while True:
+        holders: dict[tuple, set] = {}
+        for t, i, k in records:
+            if k is not None:
+                holders.setdefault((t, k), set()).add((t, i))
+        dead = {k for k, own in holders.items() if own <= want.keys()}
+        fresh = {(t, i) for t, i, pt, pk in refs if (pt, pk) in dead} - want.keys()
+        if not fresh:
+            break
+        want |= dict.fromkeys(fresh, max(want.values()) + 1)
+    got = orphans.cascade(
+        spark.createDataFrame(records + records[:5], "tbl string, rid string, key string"), spark.createDataFrame(refs + refs[:5], "tbl string, rid string, parent_tbl string, parent_key string"),
+        spark.createDataFrame(sorted(seeds), "tbl string, rid string"),
+    )
+    assert {(r.tbl, r.rid): r.depth for r in got.collect()} == want and max(want.values()) > 1
+
+
 def test_cascade_follows_a_chain_past_a_hundred_rounds(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
