@@ -101,15 +101,19 @@ def look(text: str, letters: tuple[tuple[int, str], ...]) -> str:
 
 
 @functools.cache
-def _arrays(letters: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """What each code point becomes, and which ones become none or several."""
-    to, odd = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
-    for k, v in _table(letters).items():
-        if v is not None and len(v) == 1:
-            to[k] = ord(v)
-        else:
-            odd[k] = True
-    return to, odd
+def _arrays(letters: tuple[tuple[int, str], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first, second and further code points that each code point becomes, how many they are, and where these would
+    become others again."""
+    table = _table(letters)
+    to = np.zeros((max(len(v or "") for v in table.values()), 0x110000), np.uint32)
+    to[0] = np.arange(0x110000)
+    size, odd = np.ones(0x110000, np.uint8), np.zeros(0x110000, bool)
+    for k, v in table.items():
+        v = v or ""
+        size[k], odd[k] = len(v), v.translate(table) != v
+        for i, c in enumerate(v):
+            to[i, k] = ord(c)
+    return to, size, odd
 
 
 def look_all(texts: list[str], letters: tuple[tuple[int, str], ...]) -> list[str]:
@@ -119,7 +123,7 @@ def look_all(texts: list[str], letters: tuple[tuple[int, str], ...]) -> list[str
     for i, t in enumerate(texts):
         if "\t" in t and t.isascii():
             out[i] = t.replace("\t", " ")
-    to, odd = _arrays(letters)
+    to, size_of, odd = _arrays(letters)
     at = 0
     while at < len(wide):
         many, size = at, 0
@@ -128,8 +132,15 @@ def look_all(texts: list[str], letters: tuple[tuple[int, str], ...]) -> list[str
             many += 1
         own = wide[at:many]
         _, points, ends = join([texts[i] for i in own])
-        shown = to[points].tobytes().decode("utf-32-le")
         strange = np.concatenate(([0], np.cumsum(odd[points])))[ends]
+        sizes = size_of[points]
+        begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        forms = np.repeat(to[0][points], sizes)
+        for i in range(1, len(to)):
+            longer = np.flatnonzero(sizes > i)
+            forms[begin[longer] + i] = to[i][points[longer]]
+        ends = begin[ends]
+        shown = forms.tobytes().decode("utf-32-le")
         for n, i in enumerate(own):
             t = shown[ends[n] : ends[n + 1]]
             out[i] = t if strange[n] == strange[n + 1] and unicodedata.is_normalized("NFC", t) else look(texts[i], letters)
@@ -142,8 +153,9 @@ REMEMBERED = 200_000
 
 
 def mapped(values: DataFrame) -> DataFrame:
-    """``field, key, vid, fid, form`` of ``field, key, value``: the digests of a value and of its look-alike-mapped form, and
-    the form itself where a task meets the value first in a field; later copies have a null there. Map-only."""
+    """``field, key, vid, fid, form, value`` of ``field, key, value``: the digests of a value and of its look-alike-mapped form,
+    and the form itself where a task meets the value first in a field; later copies have a null there. The value is kept
+    only where there is a form that differs from it. Map-only."""
     letters = tuple(sorted(confusable_letters(values.sparkSession).items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,38 +176,61 @@ def mapped(values: DataFrame) -> DataFrame:
                     known.clear()
                 first = {k: i for i, k in reversed(list(enumerate(own))) if k not in known}
                 forms: list[str | None] = [None] * len(texts)
+                other: list[str | None] = [None] * len(texts)
                 for (k, i), form in zip(first.items(), look_all([texts[i] for i in first.values()], letters), strict=True):
                     forms[i] = form
                     known[k] = vids[i] if form == texts[i] else hashlib.md5(form.encode(), usedforsecurity=False).digest()
+                    other[i] = None if form == texts[i] else texts[i]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(begin, n), b.column(1).slice(begin, n), pa.array(vids, pa.binary()), pa.array([known[k] for k in own], pa.binary()), pa.array(forms, pa.string())],
-                    names=["field", "key", "vid", "fid", "form"],
+                    [b.column(0).slice(begin, n), b.column(1).slice(begin, n), pa.array(vids, pa.binary()), pa.array([known[k] for k in own], pa.binary()), pa.array(forms, pa.string()), pa.array(other, pa.string())],
+                    names=["field", "key", "vid", "fid", "form", "value"],
                 )
                 begin = end
 
     keyed = values.where(F.col("value").isNotNull() & F.col("key").isNotNull())
-    return spread(keyed.select(F.col("field").cast("string").alias("field"), F.col("key").cast("string").alias("key"), "value")).mapInArrow(run, "field string, key string, vid binary, fid binary, form string")
+    return spread(keyed.select(F.col("field").cast("string").alias("field"), F.col("key").cast("string").alias("key"), "value")).mapInArrow(run, "field string, key string, vid binary, fid binary, form string, value string")
+
+
+def _members(values: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The classes of :func:`look_classes` in digests: ``field, key, vid, class, canonical, member``, where ``member`` is the
+    digest of the least value; ``field, member, text, n`` of the least values, with the rows that each stands for, not
+    read before it is used; and the number of rows."""
+    forms = materialise(mapped(values), "forms")
+    rows = materialise(forms.select("field", "key", "vid", "fid").distinct(), "values")
+    met = forms.where(F.col("form").isNotNull()).withColumn("value", F.coalesce("value", "form"))
+    collated = met.select("field", "fid", "value", F.expr("form COLLATE UNICODE").alias("form"))
+    classes = collated.groupBy("field", "form").agg(F.collect_set("fid").alias("fids"), F.unhex(F.md5(F.min("value"))).alias("member"))
+    classes = materialise(classes.select("field", "member", F.array_min("fids").alias("cid"), F.explode("fids").alias("fid")), "collated")
+    found = rows.groupBy("field", "fid").agg(F.min("vid").alias("least"), F.count("*").alias("n")).join(classes, ["field", "fid"])
+    canonical = found.groupBy("field", "cid").agg(F.min("least").alias("canonical"), F.sum("n").alias("size"))
+    known = materialise(found.join(canonical, ["field", "cid"]).select("field", "fid", "n", "canonical", "member", "size"), "classes")
+    total = rows.count()
+    members = hot_join(rows, known.drop("size"), ["field", "fid"], ["key"], "n", total)
+    members = members.select("field", "key", "vid", F.xxhash64("field", "member").alias("class"), "canonical", "member")
+    standing = known.select("field", "member", F.col("size").alias("n")).distinct()
+    texts = met.select("field", F.col("vid").alias("member"), F.col("value").alias("text")).join(standing, ["field", "member"])
+    return members, texts.groupBy("field", "member").agg(F.first("text").alias("text"), F.first("n").alias("n")), total
+
+
+def _with_text(members: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """``members`` with ``text`` for ``member``."""
+    return hot_join(members, materialise(texts, "texts"), ["field", "member"], ["key"], "n", total).drop("member", "n")
 
 
 def look_classes(values: DataFrame) -> DataFrame:
-    """``field, key, value`` to ``field, key, vid, class, canonical``: equivalence classes of texts of one look.
+    """``field, key, value`` to ``field, key, vid, class, canonical, text``: equivalence classes of texts of one look.
 
     Values are grouped, per field, by their mapped form under the accent- and case-sensitive Unicode collation,
-    which also takes differently composed accents for equal. ``vid`` is the digest of a value. The canonical member of a
-    class is the value of least digest; its digest is joined back to every row, and the class id is made of it. Null
+    which also takes differently composed accents for equal. The canonical member of a class is its least value by code
+    point, so that a plain spelling goes before wide or foreign letters; its ``text`` is joined back to every row, and the
+    class id is made of its digest. ``vid`` is the digest of a value and ``canonical`` the least of them in the class. Null
     values and keys belong to no class; the empty text is a class of its own. Repeated rows fold into one.
 
-    Each text is mapped once a task. Whole forms are shuffled once, copies folded map-side before, so that a text held by a
-    third of all rows is one row a task; everything else moves digests only.
+    Each text is mapped once a task. Whole forms are shuffled once with the least value of each, copies folded map-side
+    before, so that a text held by a third of all rows is one row a task; digests move until the texts of the
+    canonical members are fetched by theirs and joined, which again spreads hot classes.
     """
-    forms = materialise(mapped(values), "forms")
-    rows = materialise(forms.select("field", "key", "vid", "fid").distinct(), "values")
-    collated = forms.where(F.col("form").isNotNull()).select("field", "fid", F.expr("form COLLATE UNICODE").alias("form"))
-    classes = collated.groupBy("field", "form").agg(F.collect_set("fid").alias("fids")).select("field", F.array_min("fids").alias("cid"), F.explode("fids").alias("fid"))
-    found = rows.groupBy("field", "fid").agg(F.min("vid").alias("least"), F.count("*").alias("n")).join(classes, ["field", "fid"])
-    canonical = found.groupBy("field", "cid").agg(F.min("least").alias("canonical"))
-    known = materialise(found.join(canonical, ["field", "cid"]).select("field", "fid", "n", "canonical"), "classes")
-    return hot_join(rows, known, ["field", "fid"], ["key"], "n", rows.count()).select("field", "key", "vid", F.xxhash64("field", "canonical").alias("class"), "canonical")
+    return _with_text(*_members(values))
 
 
 def vault_values(notes: DataFrame, tags: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -214,7 +249,7 @@ def look_pairs(values: DataFrame) -> DataFrame:
     two values not all pairs are listed, but every key is linked to every other spelling. So there are as many rows as
     links between different texts; :func:`canonical_forms` says the same in a row a key.
     """
-    members = materialise(look_classes(values).select("field", "key", "vid", "class"), "members")
+    members = materialise(_members(values)[0].select("field", "key", "vid", "class"), "members")
     spellings = members.groupBy("field", "class", "vid").agg(F.min("key").alias("other"), F.count("*").alias("own"))
     sizes = spellings.groupBy("field", "class").agg(F.sum("own").alias("n"), F.count("*").alias("spellings")).where("spellings > 1").drop("spellings")
     spellings = materialise(spellings.join(sizes, ["field", "class"]).select("field", "class", F.col("vid").alias("ovid"), "other", "n"), "spellings")
@@ -227,5 +262,8 @@ def look_pairs(values: DataFrame) -> DataFrame:
 
 
 def canonical_forms(values: DataFrame) -> DataFrame:
-    """``field, key, class, canonical``: each value's class and the digest (MD5) of the member that stands for it."""
-    return look_classes(values).select("field", "key", "class", F.lower(F.hex("canonical")).alias("canonical")).distinct()
+    """``field, key, class, canonical, text``: each value's class, the least digest (MD5) in it, and the text of the member
+    that stands for it."""
+    members, texts, total = _members(values)
+    members = members.select("field", "key", "class", F.lower(F.hex("canonical")).alias("canonical"), "member").distinct()
+    return _with_text(members, texts, total)

@@ -29,8 +29,8 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Of each value the member that stands for its class."""
-    return p3_canonical(spark, d).drop("class")
+    """Of each value the digest that names its class."""
+    return p3_canonical(spark, d).drop("class", "text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -53,6 +53,12 @@ def test_look_is_stable(letters, text):
     assert lookalike.look_all([text, "a\tb", "", text + "ｶﾞ\u200b"], letters) == [once, "a b", "", lookalike.look(text + "ｶﾞ\u200b", letters)]
 
 
+def test_looks_of_many_are_the_looks_of_each(letters):
+    signs = [chr(i) for i in range(0x32000) if not 0xD800 <= i < 0xE000]
+    texts = signs + [f"バ{c}ﬃ\u200b{c}" for c in signs[::50]]
+    assert lookalike.look_all(texts, letters) == [lookalike.look(t, letters) for t in texts]
+
+
 def test_pairs_and_classes(spark):
     rows = [("title", "p1", "Note a", 1), ("title", "p2", "Nοte a", 2), ("title", "p3", "Note a", 3), ("title", "p4", "note a", 4), ("title", "p5", None, 5), ("title", None, "Note a", 6), ("tag", "Note a", "Note a", 7), ("title", "p6", "", 8), ("title", "p7", "Note　a", 9)]
     df = spark.createDataFrame(rows + rows[:2], "field string, key string, value string, form int")
@@ -71,6 +77,20 @@ def test_pairs_and_classes(spark):
     assert lookalike.look_pairs(copies).count() == 1999
 
 
+def test_the_least_member_stands_for_its_class(spark):
+    looks = {"Note a": ("Nοte a", "Note\u3000a", "Ｎote a", "Note a"), "Νοte b": ("Ｎote b", "Νοte b"), "ｶ": ("ｶ",), "ab": ("a\u200bb", "ab")}
+    assert any(min(vs, key=lambda v: hashlib.md5(v.encode()).digest()) != t for t, vs in looks.items())  # not the least digests
+    rows = [("title", f"{t} {v} {i}", v) for t, vs in looks.items() for v in vs for i in range(3)]
+    df = spark.createDataFrame(rows + rows[:5] + [("tag", "Ｎote a", "Ｎote a"), ("title", "none", None), ("title", "", "")], "field string, key string, value string")
+    want = {("title", k): next(t for t in looks if v in looks[t]) for _, k, v in rows} | {("tag", "Ｎote a"): "Ｎote a", ("title", ""): ""}
+    for out in (lookalike.look_classes(df), lookalike.canonical_forms(df)):
+        got = out.collect()
+        assert len(got) == len(want) and {(r.field, r.key): r.text for r in got} == want
+        assert len({r["class"] for r in got}) == len(looks) + 2
+    copies = spark.range(3000).select(F.lit("title").alias("field"), F.col("id").cast("string").alias("key"), F.when(F.col("id") % 3 == 0, "Ａ").otherwise("A").alias("value"))
+    assert {tuple(r) for r in lookalike.canonical_forms(copies).groupBy("text").count().collect()} == {("A", 3000)}
+
+
 # --- markup ---
 
 PAGE = """# Top
